@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bm25, bpe, htmltext, licenses, packing, rff, rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -20,13 +20,44 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"), keep_records=False).drop("record")
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, keep_ids=False)
     return out.drop("ids")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op8_packing": op8_packing}
+    return {
+        "op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_search": op3_search, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_rules": op6_rules,
+        "op7_html": op7_html, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

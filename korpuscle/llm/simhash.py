@@ -197,16 +197,35 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
+def components(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root) for each distinct fingerprint; root is a fingerprint of its component."""
+    distinct = prints.select("fp").distinct()
+    found = connected_components(cut(links(distinct, threshold)))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
+    """The rows of docs, all columns, less those whose group has an earlier row.
+
+    Rows are ordered by doc_id, nulls last, then by their place; docs must read the same twice.
+    """
+    name = "korpuscle_row"
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    prints = cut(fingerprints(rows.select(F.col(name).alias("doc_id"), "text"), width).join(rows.select(F.col(name).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"))
+    grouped = prints.join(components(prints, threshold), "fp")
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))
+    first = grouped.groupBy("root").agg(F.min(place).alias("first"))
+    gone = grouped.join(first, "root").where(place > F.col("first")).select(F.col("doc_id").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     prints = cut(fingerprints(docs, width))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # one fingerprint's rows are already one; the replicas of the distinct ones are dealt by anchor
-    found = connected_components(cut(links(groups, threshold)))
-    members = found.join(groups, found.node == groups.fp).select("node", "root", "least")
-    comps = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.join(comps, "root").select(F.col("node").alias("fp"), "component_id")
-    of = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(components(prints, threshold), "fp")
+    comps = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    # kept, so that both sides of the last join are dealt anew and a hot fingerprint can be split
+    of = cut(groups.join(comps, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
