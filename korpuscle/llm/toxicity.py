@@ -35,7 +35,9 @@ SAMPLE = 1200
 WINDOW, STRIDE, HIDDEN = 40, 20, 8
 #: Known words, buckets of trigrams, and the width of their vectors.
 WORDS, TRIGRAMS, DIM = 4000, 2048, 8
-STEPS, BATCH, RATE, SEED = 160, 128, 0.02, 11
+STEPS, BATCH, RATE, SEED = 180, 128, 0.02, 11
+#: Steps after which the windows are chosen anew; share of known words read by their characters alone in a step.
+RECHOOSE, DROP = 60, 0.35
 #: Windows run at once; words a task remembers.
 AT_ONCE, REMEMBER = 1024, 200_000
 find_words = re.compile(r"[^\W\d_]+").findall
@@ -282,13 +284,14 @@ def fit(texts: list[str], y: list[int]) -> Model | None:
     first = [strength[w].sum(axis=1) for w in all_windows]
 
     def choose(score: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The highest window of each toxic text above ``least``; of others, the highest and one by chance."""
+        """The highest window of each toxic text above ``least``; not toxic are the highest window of other
+        texts, one by chance, and the lowest of a toxic text, lest its other words stand for the label."""
         rows, marks = [np.zeros((4, WINDOW), np.int64)], [np.zeros(4)]
         for w, s, t in zip(all_windows, score, labels, strict=True):
-            top = int(s.argmax())
+            top, low = int(s.argmax()), int(s.argmin())
             if t and s[top] > least:
-                rows.append(w[top][None])
-                marks.append(np.ones(1))
+                rows.append(w[[top]] if s[low] > least else w[[top, low]])
+                marks.append(np.array([1.0, 0.0])[: len(rows[-1])])
             elif not t:
                 rows.append(w[[top, int(rng.integers(len(w)))]])
                 marks.append(np.zeros(2))
@@ -299,23 +302,24 @@ def fit(texts: list[str], y: list[int]) -> Model | None:
     if not t.any():
         x, t = choose(first, -1.0)
     for k in range(STEPS):
-        if k == STEPS // 2:
-            x, t = choose(document_logits(model, names, known, all_windows), -2.0)
+        if k and k % RECHOOSE == 0:
+            x, t = choose(document_logits(model, names, known, all_windows), -1.0)
         half = [rng.choice(np.flatnonzero(t == c), BATCH // 2) if (t == c).any() else np.zeros(0, int) for c in (0, 1)]
         pick = np.concatenate(half)
         used, inverse = np.unique(x[pick], return_inverse=True)
         if used[0] != 0:
             used, inverse = np.concatenate([[0], used]), inverse + 1
         # row 0 is padding, as everywhere
-        model.step([names[i] for i in used], known[used], inverse.reshape(len(pick), WINDOW), t[pick].astype(F32), moments, k)
+        ids = np.where((rng.random(len(used)) < DROP) & (known[used] > 1), 1, known[used])
+        model.step([names[i] for i in used], ids, inverse.reshape(len(pick), WINDOW), t[pick].astype(F32), moments, k)
     top = np.array([s.max() for s in document_logits(model, names, known, all_windows)])
     order = np.argsort(top)
-    # the cut that gets most documents right, with the classes as they are; between two scores
+    # of the cuts that get most documents right, or all but a few of those, the one in the widest gap
     right = np.concatenate([[0], np.cumsum(np.where(labels[order], -1, 1))])
-    best = np.flatnonzero(right == right.max())
-    k = int(best[len(best) // 2])
-    edge = (top[order[max(k - 1, 0)]] + top[order[min(k, len(top) - 1)]]) / 2
-    model.shift = float(edge)
+    near = np.flatnonzero(right >= right.max() - max(1, len(top) // 400))
+    ends = np.concatenate([[top.min() - 1], top[order], [top.max() + 1]])
+    k = int(near[np.argmax(ends[near + 1] - ends[near])])
+    model.shift = float((ends[k] + ends[k + 1]) / 2)
     return model
 
 
