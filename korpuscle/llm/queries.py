@@ -68,7 +68,7 @@ def search_sql() -> str:
     k1, b = bm25.K1, bm25.B
     return f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), l AS (SELECT doc_id, len(w)::DOUBLE AS n FROM d), g AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean FROM l),
 p AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL), f AS (SELECT t, count(*)::DOUBLE AS df FROM p GROUP BY t),
-s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln((docs-df+0.5)/(df+0.5)+1)*tf*{k1 + 1}/(tf+{k1}*({1 - b}+{b}*n/mean))),9) AS score
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln((docs-df+0.5)/(df+0.5)+1)*p.tf*{k1 + 1}/(p.tf+{k1}*({1 - b}+{b}*n/mean))),9) AS score
 FROM p q JOIN p ON p.t=q.t JOIN f ON f.t=q.t JOIN l ON l.doc_id=p.doc_id, g WHERE q.doc_id%50=0 GROUP BY ALL)
 SELECT query_id, rank::INT AS rank, doc_id, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
 
@@ -80,10 +80,10 @@ def license_sql() -> str:
     for phrase, label in licenses.PHRASES.items():
         words = phrase.split()
         test = " AND ".join(f"w[i+{k}]='{x}'" for k, x in enumerate(words))
-        places.append(f"SELECT r, i-1 AS at, '{label}' AS label FROM (SELECT r, w, unnest(range(1, len(w)-{len(words) - 2})) AS i FROM d WHERE len(w) >= {len(words)}) WHERE {test}")
+        places.append(f"SELECT r, i-1 AS place, '{label}' AS label FROM (SELECT r, w, unnest(range(1, len(w)-{len(words) - 2})) AS i FROM d WHERE len(w) >= {len(words)}) WHERE {test}")
     line = _WORDS.format("line")
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS.format("text")} AS w FROM documents), t(label, words, need) AS (VALUES {templates}),
-b AS ({" UNION ALL ".join(places)}), bb AS (SELECT r, count(*) AS n_base, min(at)::BIGINT AS first_word, max(at)::BIGINT AS last_word, array_to_string(list_sort(list(DISTINCT label)),',') AS base_labels FROM b GROUP BY r),
+b AS ({" UNION ALL ".join(places)}), bb AS (SELECT r, count(*) AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word, array_to_string(list_sort(list(DISTINCT label)),',') AS base_labels FROM b GROUP BY r),
 x AS (SELECT r, list_distinct({line}) AS lw FROM (SELECT r, unnest(string_split(coalesce(text,''), chr(10))) AS line FROM d)),
 m AS (SELECT r, label, len(list_intersect(lw, words))::DOUBLE/len(words) AS share FROM x, t WHERE len(list_intersect(lw, words)) >= need),
 a AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)),',') AS labels, max(share) AS share FROM (SELECT r, label, share FROM m UNION ALL SELECT r, label, 1.0 FROM b) GROUP BY r)
