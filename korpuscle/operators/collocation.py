@@ -105,12 +105,12 @@ def contrast(corpus: Corpus, node: str | Column, target: Column, reference: Colu
     rows = per.where(F.greatest("o_t", "o_r") >= min_freq).crossJoin(F.broadcast(totals))
     d = lambda c: F.col(c).cast("double")
     dice = lambda s: F.when(d(f"r1_{s}") + d(f"c_{s}") > 0, 2.0 * d(f"o_{s}") / (d(f"r1_{s}") + d(f"c_{s}"))).otherwise(F.lit(0.0))
-    rate = lambda s: 1e6 * d(f"o_{s}") / d(f"n_{s}")
+    rate = lambda s: measures.over(1e6 * d(f"o_{s}"), d(f"n_{s}"))
     diff = rate("t") - rate("r")
     return rows.select(
         "collocate", F.col("o_t").alias("target_freq"), F.col("o_r").alias("reference_freq"), dice("t").alias("target_score"), dice("r").alias("reference_score"),
         rate("t").alias("target_per_million"), rate("r").alias("reference_per_million"), (dice("t") - dice("r")).alias("diff_score"), diff.alias("diff_per_million"), F.abs(diff).alias("diff_abs"),
-        F.log2(((d("o_t") + 0.5) / d("n_t")) / ((d("o_r") + 0.5) / d("n_r"))).alias("log_ratio"), ((F.col("o_t") == 0) != (F.col("o_r") == 0)).alias("one_sided"),
+        F.log2(measures.over(measures.over(d("o_t") + 0.5, d("n_t")), measures.over(d("o_r") + 0.5, d("n_r")))).alias("log_ratio"), ((F.col("o_t") == 0) != (F.col("o_r") == 0)).alias("one_sided"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.measures import over
 from .corpus import Corpus, by_document
 
 
@@ -70,7 +71,7 @@ def frequency_contrast(corpus: Corpus, target: Column, reference: Column, min_fr
 
 
 def _rates(df: DataFrame, key: str) -> DataFrame:
-    rate = lambda s: 1e6 * F.col(f"f_{s}").cast("double") / F.col(f"n_{s}").cast("double")
+    rate = lambda s: over(1e6 * F.col(f"f_{s}").cast("double"), F.col(f"n_{s}"))
     diff = rate("t") - rate("r")
     return df.select(key, "f_t", "f_r", rate("t").alias("pm_t"), rate("r").alias("pm_r"), diff.alias("diff_pm"), F.abs(diff).alias("diff_abs"))
 
@@ -100,10 +101,10 @@ def hit_spread(corpus: Corpus, hits: DataFrame) -> DataFrame:
     per_doc = hits.groupBy("doc_id").agg(F.count("*").alias("h"))
     d = corpus.docs.join(per_doc, "doc_id", "left").select(F.coalesce("h", F.lit(0)).cast("double").alias("h"), F.col("n_words").cast("double").alias("w"))
     s = d.agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.sum("w").alias("w"), F.sum(F.col("h") * F.col("h")).alias("hh"), F.sum(F.col("h") * F.col("w")).alias("hw"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.count_if(F.col("h") > 0).alias("n_docs"))
-    r = F.col("h") / F.col("w")
+    r = over(F.col("h"), F.col("w"))
     residual = F.col("hh") - 2.0 * r * F.col("hw") + r * r * F.col("ww")
     n = F.col("n").cast("double")
-    se = F.sqrt(F.greatest(F.lit(0.0), residual * n / (n - 1.0))) / F.col("w")
+    se = over(F.sqrt(F.greatest(F.lit(0.0), over(residual * n, n - 1.0))), F.col("w"))
     return s.select("n_docs", F.col("h").cast("long").alias("n_hits"), r.alias("rate"), F.greatest(F.lit(0.0), r - 1.959964 * se).alias("low"), (r + 1.959964 * se).alias("high"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, numeric
+from ..functions.measures import over
 from .corpus import Corpus
 
 
@@ -22,39 +23,39 @@ def family(p: DataFrame) -> DataFrame:
         F.col("o").cast("double").alias("o"), F.col("s").cast("double").alias("s"), F.col("f").cast("double").alias("f"), F.col("n").cast("double").alias("n"),
     )
     v = F.when(F.col("s") > 0, F.col("o") / F.col("s")).otherwise(F.lit(0.0))
-    share = F.col("o") / F.col("f")
+    share = over(F.col("o"), F.col("f"))
     sums = d.agg(
         F.first("f").cast("long").alias("hits"), F.count("*").alias("n_docs"), F.count_if(F.col("o") > 0).alias("range"),
-        (0.5 * F.sum(F.abs(share - F.col("s") / F.col("n")))).alias("dp"), (1.0 - F.min(F.col("s") / F.col("n"))).alias("dp_max"),
+        (0.5 * F.sum(F.abs(share - over(F.col("s"), F.col("n"))))).alias("dp"), (1.0 - F.min(over(F.col("s"), F.col("n")))).alias("dp_max"),
         F.avg(v).alias("mean"), F.avg(v * v).alias("square"), (-F.sum(F.when(F.col("o") > 0, share * F.log(share)))).alias("entropy"),
     )
     none = (F.col("hits") == 0) | (F.col("n_docs") <= 1)
     unless = lambda c: F.when(none, F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0)))
-    sums = sums.withColumn("vc", unless(F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))) / F.col("mean")))
+    sums = sums.withColumn("vc", unless(over(F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))), F.col("mean"))))
     clip01 = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     return sums.select(
-        "hits", "n_docs", "range", unless(F.col("dp")).alias("dp"), unless(F.col("dp") / F.col("dp_max")).alias("dpnorm"), "vc",
-        unless(clip01(1.0 - F.col("vc") / F.sqrt(F.col("n_docs").cast("double") - 1.0))).alias("juilland_d"), unless(clip01(F.col("entropy") / F.log(F.col("n_docs").cast("double")))).alias("carroll_d2"), "dp_max",
+        "hits", "n_docs", "range", unless(F.col("dp")).alias("dp"), unless(over(F.col("dp"), F.col("dp_max"))).alias("dpnorm"), "vc",
+        unless(clip01(1.0 - over(F.col("vc"), F.sqrt(F.col("n_docs").cast("double") - 1.0)))).alias("juilland_d"), unless(clip01(over(F.col("entropy"), F.log(F.col("n_docs").cast("double"))))).alias("carroll_d2"), "dp_max",
     )
 
 
 def references(p: DataFrame) -> DataFrame:
     """One row: dp_min by largest remainders, dp_expected under chance, dp_max."""
     totals = p.agg(F.sum("o").alias("f"), F.sum("s").alias("n"))
-    d = p.crossJoin(F.broadcast(totals)).withColumn("share", F.col("s").cast("double") / F.col("n"))
+    d = p.crossJoin(F.broadcast(totals)).withColumn("share", over(F.col("s"), F.col("n")))
     d = d.withColumn("ideal", F.col("f") * F.col("share")).withColumn("base", F.floor("ideal"))
     left = d.agg((F.first("f") - F.sum("base")).alias("left"))
     rank = F.row_number().over(Window.orderBy(F.desc(F.col("ideal") - F.col("base")), "doc_id"))
     d = d.withColumn("rank", rank).crossJoin(F.broadcast(left)).withColumn("best", F.col("base") + (F.col("rank") <= F.col("left")).cast("int"))
     d = d.withColumn("mad", numeric.expected_deviation("f", "share"))
     f = F.first("f").cast("double")
-    return d.agg((0.5 * F.sum(F.abs(F.col("best") / F.col("f") - F.col("share")))).alias("dp_min"), (0.5 * F.sum("mad") / f).alias("dp_expected"), (1.0 - F.min("share")).alias("dp_max"))
+    return d.agg((0.5 * F.sum(F.abs(over(F.col("best"), F.col("f")) - F.col("share")))).alias("dp_min"), over(0.5 * F.sum("mad"), f).alias("dp_expected"), (1.0 - F.min("share")).alias("dp_max"))
 
 
 def label(hits: Column, dp: Column, low: Column, expected: Column, high: Column) -> Column:
     return (
         F.when(hits == 0, "not_found").when(high - low < 0.05, "too_few_hits").when(dp <= 0.75 * expected, "even").when(dp <= expected, "fairly_even")
-        .when((dp - expected) / (high - expected) >= 0.5, "clustered").otherwise("fairly_clustered")
+        .when(over(dp - expected, high - expected) >= 0.5, "clustered").otherwise("fairly_clustered")
     )
 
 
@@ -87,7 +88,7 @@ def trend(docs: DataFrame, hits: DataFrame, field: str, granularity: str = "year
     rows = docs.select("doc_id", "n_words", period(F.col(field).cast("string"), granularity).alias("period")).join(per, "doc_id", "left")
     out = rows.groupBy("period").agg(F.coalesce(F.sum("h"), F.lit(0)).alias("n_hits"), F.sum("n_words").alias("n_words")).orderBy("period").limit(periods)
     low, high = measures.wilson(F.col("n_hits"), F.col("n_words"))
-    return out.select("period", "n_hits", "n_words", (1e6 * F.col("n_hits").cast("double") / F.col("n_words")).alias("per_million"), (1e6 * low).alias("low"), (1e6 * high).alias("high"))
+    return out.select("period", "n_hits", "n_words", over(1e6 * F.col("n_hits").cast("double"), F.col("n_words")).alias("per_million"), (1e6 * low).alias("low"), (1e6 * high).alias("high"))
 
 
 # -- lexical diversity -----------------------------------------------------------------
@@ -118,7 +119,7 @@ def sttr(corpus: Corpus, window: int = 1000) -> DataFrame:
     """Mean type-token ratio of full consecutive windows."""
     per = word_stream(corpus).groupBy(F.floor(F.col("i") / window).alias("w"), "word").agg(F.count("*").alias("c"))
     windows = per.groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("v")).where(F.col("n") == window)
-    return windows.agg(F.count("*").alias("windows"), (F.sum("v").cast("double") / (F.count("*") * window)).alias("sttr"))
+    return windows.agg(F.count("*").alias("windows"), over(F.sum("v"), F.count("*") * window).alias("sttr"))
 
 
 def mattr(corpus: Corpus, window: int = 500) -> DataFrame:
