@@ -15,6 +15,11 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))
 
 
+def spaced_tokens_of(text: Column) -> Column:
+    """Array of tokens, each with the white space that follows it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN + r"\s*"), F.lit(0))
+
+
 def is_word(token: Column) -> Column:
     """A word token holds a letter or digit after trimming and is no |marker|."""
     t = F.trim(token)

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_ENDS, is_word, tokens_of
+from ..functions.text import SENTENCE_ENDS, is_word, spaced_tokens_of, tokens_of
 
 #: Attributes of a token that queries may name, and their columns.
 ATTRIBUTES = {"word": "word", "lemma": "lemma", "pos": "pos_tag", "morph": "morph", "ent": "ent", "rel": "rel"}
@@ -40,15 +40,21 @@ class Corpus:
         self.tokens, self.docs, self.meta = tokens, docs, meta
 
     @classmethod
-    def from_documents(cls, df: DataFrame, meta: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", persist: bool = False) -> Corpus:
-        """Split texts into tokens under the blank pipeline: lemma is the folded word, POS is X."""
+    def from_documents(cls, df: DataFrame, meta: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", persist: bool = False, spacing: bool = False) -> Corpus:
+        """Split texts into tokens under the blank pipeline: lemma is the folded word, POS is X.
+
+        With ``spacing``, ws_after tells the tokens that white space follows in the source.
+        """
         meta = [c for c in df.columns if c not in (id_col, text_col)] if meta is None else meta
         base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta).repartition("doc_id")
-        split = base.select("doc_id", *meta, F.posexplode(tokens_of(F.col("text"))).alias("tok_idx", "word"))
+        split = base.select("doc_id", *meta, F.posexplode((spaced_tokens_of if spacing else tokens_of)(F.col("text"))).alias("tok_idx", "word"))
+        if spacing:
+            split = split.withColumn("ws_after", F.col("word").rlike(r"\s$")).withColumn("word", F.regexp_replace("word", r"\s+$", ""))
         ends = F.sum(F.col("word").isin(*SENTENCE_ENDS).cast("int")).over(by_document().rowsBetween(Window.unboundedPreceding, -1))
         word_lc = F.lower("word")
         tokens = split.select(
             "doc_id", *meta, "tok_idx", F.coalesce(ends, F.lit(0)).cast("int").alias("sent_id"), "word", word_lc.alias("word_lc"), is_word(F.col("word")).alias("is_word"),
+            *(["ws_after"] if spacing else []),
         )
         if persist:
             tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)

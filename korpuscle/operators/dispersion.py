@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures, numeric
 from ..functions.measures import over
 from .corpus import Corpus
+from .running import running_start
 
 
 def profile(corpus: Corpus, hits: DataFrame) -> DataFrame:
@@ -40,16 +41,24 @@ def family(p: DataFrame) -> DataFrame:
 
 
 def references(p: DataFrame) -> DataFrame:
-    """One row: dp_min by largest remainders, dp_expected under chance, dp_max."""
-    totals = p.agg(F.sum("o").alias("f"), F.sum("s").alias("n"))
-    d = p.crossJoin(F.broadcast(totals)).withColumn("share", over(F.col("s"), F.col("n")))
+    """One row: dp_min by largest remainders, dp_expected under chance, dp_max.
+
+    Documents of one size have one share and one remainder, so everything is done on the
+    distinct sizes and their counts.
+    """
+    sizes = p.groupBy("s").agg(F.count("*").alias("k"), F.sum("o").alias("o"))
+    totals = sizes.agg(F.sum("o").alias("f"), F.sum(F.col("s") * F.col("k")).alias("n"))
+    d = sizes.crossJoin(F.broadcast(totals)).withColumn("share", over(F.col("s"), F.col("n")))
     d = d.withColumn("ideal", F.col("f") * F.col("share")).withColumn("base", F.floor("ideal"))
-    left = d.agg((F.first("f") - F.sum("base")).alias("left"))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.col("ideal") - F.col("base")), "doc_id"))
-    d = d.withColumn("rank", rank).crossJoin(F.broadcast(left)).withColumn("best", F.col("base") + (F.col("rank") <= F.col("left")).cast("int"))
-    d = d.withColumn("mad", numeric.expected_deviation("f", "share"))
+    left = d.agg((F.first("f") - F.sum(F.col("base") * F.col("k"))).alias("left"))
+    before = F.sum("k").over(Window.orderBy(F.desc(F.col("ideal") - F.col("base")), "s").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("before", F.coalesce(before, F.lit(0))).crossJoin(F.broadcast(left))
+    d = d.withColumn("up", F.greatest(F.lit(0), F.least(F.col("k"), F.col("left") - F.col("before"))))
+    off = lambda o: F.abs(over(o, F.col("f")) - F.col("share"))
+    apart = F.col("up") * off(F.col("base") + 1) + (F.col("k") - F.col("up")) * off(F.col("base"))
+    d = d.withColumn("apart", apart).withColumn("mad", numeric.expected_deviation("f", "share") * F.col("k"))
     f = F.first("f").cast("double")
-    return d.agg((0.5 * F.sum(F.abs(over(F.col("best"), F.col("f")) - F.col("share")))).alias("dp_min"), over(0.5 * F.sum("mad"), f).alias("dp_expected"), (1.0 - F.min("share")).alias("dp_max"))
+    return d.agg((0.5 * F.sum("apart")).alias("dp_min"), over(0.5 * F.sum("mad"), f).alias("dp_expected"), (1.0 - F.min("share")).alias("dp_max"))
 
 
 def label(hits: Column, dp: Column, low: Column, expected: Column, high: Column) -> Column:
@@ -101,8 +110,7 @@ def word_stream(corpus: Corpus, by: str | None = None) -> DataFrame:
     runs over all tokens.
     """
     side = [by] if by else []
-    start = F.coalesce(F.sum("n_words").over(Window.partitionBy(*side).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = corpus.docs.select("doc_id", start.alias("_start"))
+    starts = running_start(corpus.docs.select("doc_id", *side, "n_words"), "n_words", "_start", side).select("doc_id", "_start")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx")) - 1
     words = corpus.tokens.where("is_word").select("doc_id", *side, "tok_idx", "word", place.alias("_in"))
     return words.join(starts, "doc_id").select(*side, "word", (F.col("_start") + F.col("_in")).alias("i"))

@@ -15,13 +15,27 @@ def bonferroni(p: Column, m: Column) -> Column:
 
 
 def with_bh(rows: DataFrame, p: str = "p", key: str = "word_lc", name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg step-up; m is the number of rows, those that survived the floor."""
-    up = Window.orderBy(p, key)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    raw = rows.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count("*").over(every))
-    raw = raw.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    down = Window.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down))).drop("_r", "_m", "_q")
+    """Benjamini-Hochberg step-up over all rows; adds m, their number, too.
+
+    Ranks and running minima are taken inside buckets of p, with the buckets' own totals
+    carried between them, so no task sees all rows.
+    """
+    c = F.col(p)
+    small = 3000 - F.least(F.lit(3000.0), F.floor(-9.0 * F.log10(F.greatest(c, F.lit(1e-320)))))
+    bucket = F.when(c > 0.01, 3000 + F.floor(c * 1024)).otherwise(small).cast("int")
+    b = rows.withColumn("_b", bucket)
+    sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
+    under = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = sizes.select("_b", under.alias("_base"), whole.alias("m"))
+    b = b.join(F.broadcast(base), "_b")
+    rank = F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(p, key))
+    b = b.withColumn("_q", c * F.col("m") / rank)
+    least = b.groupBy("_b").agg(F.min("_q").alias("_l"))
+    above = least.select("_b", F.min("_l").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    down = Window.partitionBy("_b").orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(F.broadcast(above), "_b").withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down), F.col("_above")))
+    return out.drop("_b", "_base", "_q", "_above")
 
 
 def count_sides(corpus: Corpus, target: Column, reference: Column, min_freq: int = 5, pos: str | None = None) -> DataFrame:
@@ -45,9 +59,7 @@ def scored(rows: DataFrame, inference: bool = True) -> DataFrame:
     out = rows.withColumns(measures.keyness(*(F.col(x) for x in ("a", "c", "nt", "nr"))))
     if not inference:
         return out
-    out = out.withColumn("p", numeric.p_value("ll"))
-    m = F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = with_bh(out).withColumn("m", m).withColumn("p_bonferroni", bonferroni(F.col("p"), F.col("m")))
+    out = with_bh(out.withColumn("p", numeric.p_value("ll"))).withColumn("p_bonferroni", bonferroni(F.col("p"), F.col("m")))
     return out.withColumn("lrc", numeric.lrc("a", "c", "nt", "nr", "m"))
 
 

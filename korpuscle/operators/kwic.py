@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import formula_guard, mask_pii, sort_fold
 from .corpus import Corpus
+from .running import running_start
 
 MAX_LINES, MAX_SAMPLE = 5000, 10_000
 
@@ -80,10 +81,13 @@ def sample(rows: DataFrame, size: int, seed: int) -> DataFrame:
 
 def sample_indices(rows: DataFrame, size: int, seed: int) -> DataFrame:
     """The sample whose line numbers numpy's generator draws for the seed."""
-    n = rows.count()
+    per = rows.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    n = per.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     chosen = np.sort(np.random.default_rng(seed).choice(n, min(size, n), replace=False)).tolist() if n else []
     picked = rows.sparkSession.createDataFrame([(int(i),) for i in chosen], "_i long")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy("doc_id", "start_idx")).cast("long") - 1)
+    starts = running_start(per, "_n", "_start").select("doc_id", "_start")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_idx")) - 1
+    numbered = rows.withColumn("_in", place).join(starts, "doc_id").withColumn("_i", (F.col("_start") + F.col("_in")).cast("long")).drop("_start", "_in")
     return numbered.join(F.broadcast(picked), "_i").drop("_i").orderBy("doc_id", "start_idx")
 
 
@@ -122,6 +126,29 @@ def export(rows: DataFrame, mask: bool = False) -> DataFrame:
     return out
 
 
+def source_lines(corpus: Corpus, hits: DataFrame, ctx: int = 5) -> DataFrame:
+    """As lines(), spaced as in the source; the corpus must have ws_after."""
+    corpus.tokens["ws_after"]
+    wanted = corpus.tokens.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    arrays = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", F.col("word").alias("w"), F.col("ws_after").alias("s")))).alias("t"))
+    rows = hits.join(arrays, "doc_id")
+    s, e = F.col("start_idx"), F.col("end_idx")
+    first = F.greatest(F.lit(0), s - ctx)
+    part = lambda a, n: spaced(F.slice("t.w", a + 1, n), F.slice("t.s", a + 1, n))
+    return rows.withColumns({"left": part(first, s - first), "node": part(s, e - s), "right": part(e, F.lit(ctx))}).drop("t")
+
+
+def document_list(corpus: Corpus, offset: int = 0, limit: int = 100) -> DataFrame:
+    return corpus.docs.orderBy("doc_id").offset(offset).limit(min(limit, MAX_LINES))
+
+
+def snippet(corpus: Corpus, hits: DataFrame, ctx: int = 12) -> DataFrame:
+    """One line for each document with hits, that of its first."""
+    first = hits.groupBy("doc_id").agg(F.min(F.struct("start_idx", "end_idx")).alias("h")).select("doc_id", "h.start_idx", "h.end_idx")
+    rows = lines(corpus, first, ctx)
+    return rows.select("doc_id", F.concat_ws(" ", "left", "node", "right").alias("snippet"), F.col("start_idx").alias("first_idx"))
+
+
 def document_text(corpus: Corpus, doc_id: int) -> DataFrame:
     one = corpus.tokens.where(F.col("doc_id") == doc_id)
     words = F.array_sort(F.collect_list(F.struct("tok_idx", "word")))

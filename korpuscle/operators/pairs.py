@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_ENDS
+from .corpus import Corpus
 
 GAP, MIN_SIMILARITY, CELLS = 1.0, 0.5, 4_000_000
 
@@ -94,6 +95,28 @@ def align(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id long, left_sent int, right_sent int, similarity double, kind string")
 
 
+def parallel_lines(corpus: Corpus, hits: DataFrame, key: str) -> DataFrame:
+    """For the sentence of each hit, the most similar sentence of every other document of its pair group.
+
+    Only sentences of groups with hits are gathered; ties go to the earlier sentence.
+    """
+    groups_ = corpus.docs.select("doc_id", key)
+    own = hits.select("doc_id", "sent_id").distinct().join(groups_, "doc_id")
+    wanted = groups_.join(own.select(key).distinct(), key, "left_semi")
+    sents = corpus.tokens.join(wanted.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "word"))).alias("t")).select("doc_id", "sent_id", F.col("t.word").alias("w"))
+    left = own.join(sents, ["doc_id", "sent_id"])
+    right = sents.join(wanted, "doc_id").select(key, F.col("doc_id").alias("other_id"), F.col("sent_id").alias("other_sent"), F.col("w").alias("other_w"))
+    met = left.join(right, key).where(F.col("doc_id") != F.col("other_id"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    scored = met.withColumn("similarity", alike("w", "other_w"))
+    best = scored.groupBy("doc_id", "sent_id", "other_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("other_sent"), F.col("other_w"))).alias("b"), F.first("w").alias("w"))
+    return best.select("doc_id", "sent_id", F.array_join("w", " ").alias("sentence"), "other_id", "b.other_sent", F.array_join("b.other_w", " ").alias("other_sentence"), (-F.col("b.s")).alias("similarity"))
+
+
 # -- agreement -------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,40 @@ def write_concordance(rows: DataFrame, path: str, kind: str = "csv", mask: bool
         writer.parquet(path)
 
 
+def write_xlsx(rows: DataFrame, path: str, mask: bool = False, limit: int = MAX_LINES) -> int:
+    """A workbook with one sheet of text cells, written row by row on the driver; the rows' number."""
+    from xml.sax.saxutils import escape
+
+    out = export(rows.limit(limit), mask)
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="lines" sheetId="1" r:id="r1"/></sheets></workbook>',
+    }
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, head + text)
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            cell = lambda v: "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_printable(str(v)))}</t></is></c>'
+            line = lambda vs: ("<row>" + "".join(map(cell, vs)) + "</row>").encode()
+            f.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode() + line(out.columns))
+            for r in out.toLocalIterator():
+                f.write(line(r))
+                n += 1
+            f.write(b"</sheetData></worksheet>")
+    return n
+
+
+def _printable(text: str) -> str:
+    return "".join(c for c in text if c >= " " or c in "\t\n\r")
+
+
 def evidence(rows: DataFrame, about: dict) -> dict:
     """A record of a result: its method, its size and a digest that does not depend on row order."""
     digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)

@@ -152,3 +152,31 @@ def test_cells(spark):
     assert (r.a, r.b) == ("'=1+1", "[email] [ip]")
     s = spark.createDataFrame([(["a", ",", "b"], [False, True, False])], "w array<string>, s array<boolean>")
     assert s.select(kwic.spaced(F.col("w"), F.col("s")).alias("t")).first().t == "a, b"
+
+
+def test_running_start(spark):
+    from korpuscle.operators.running import running_start
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("ab"), rnd.randint(0, 9)) for i in rnd.sample(range(-500, 5000), 700)]
+    df = spark.createDataFrame(rows, "doc_id long, side string, n long").repartition(5)
+    total, want = 0, {}
+    for i, _, n in sorted(rows):
+        want[i] = total
+        total += n
+    assert {r.doc_id: r.s for r in running_start(df, "n", "s").collect()} == want
+    per = {r.doc_id: r.s for r in running_start(df, "n", "s", ["side"]).collect()}
+    assert all(per[i] == sum(n for j, t, n in rows if j < i and t == side) for i, side, _ in rows)
+    assert running_start(df.limit(0), "n", "s").count() == 0
+
+
+def test_benjamini_hochberg(spark):
+    from korpuscle.operators.keyness import with_bh
+
+    rng = np.random.default_rng(6)
+    p = np.concatenate([10 ** -rng.uniform(0, 300, 150), rng.random(150), [1.0, 1.0, 0.0, 0.01, 0.01]])
+    got = {r.word_lc: (r.q, r.m) for r in with_bh(spark.createDataFrame([(f"w{i}", float(x)) for i, x in enumerate(p)], "word_lc string, p double")).collect()}
+    order = np.argsort(p, kind="stable")
+    q = np.minimum(1, np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
+    for k, i in enumerate(order):
+        assert got[f"w{i}"] == (pytest.approx(q[k], rel=1e-12, abs=1e-300), len(p))
