@@ -157,6 +157,11 @@ def test_search(spark, shard, frequent, block, monkeypatch):
     assert pairs(got, "query_id", "rank", "doc_id", "score") == slow_search([(r.doc_id, r.text) for r in df.collect()], 4)
 
 
+def test_counts_beyond_a_byte():
+    n, terms, counts = bm25.vector("a " * 300 + "b " * 255 + "c")
+    assert n == 556 and sorted(bm25.unpacked([counts, counts], [3, 3]).tolist()) == [1, 1, 255, 255, 300, 300] and len(terms) == 24
+
+
 def test_search_awkward(spark):
     df = awkward(spark)
     out = bm25.search(df, F.col("doc_id") % 5 == 0, k=3).collect()
@@ -167,8 +172,8 @@ def test_search_awkward(spark):
 def test_shard_prunes_and_stays_exact():
     rng = np.random.default_rng(3)
     terms = [rng.choice(60, rng.integers(3, 30), replace=False, p=np.arange(60, 0, -1) / 1830) for _ in range(700)]
-    rows = [(np.sort(t).astype("<u8").tobytes(), rng.integers(1, 5, len(t)).astype("<u4").tobytes()) for t in terms]
-    s = bm25.Shard(list(range(700)), [int(np.frombuffer(c, "<u4").sum()) for _, c in rows], [h for h, _ in rows], [c for _, c in rows], 30.0)
+    rows = [(np.sort(t).astype("<u8").tobytes(), rng.integers(1, 5, len(t)).astype("u1").tobytes()) for t in terms]
+    s = bm25.Shard(list(range(700)), [int(np.frombuffer(c, "u1").sum()) for _, c in rows], [h for h, _ in rows], [c for _, c in rows], 30.0)
     assert len(s.dense) and (s.dense_of < 0).any()
     for t in terms[:40]:
         h, idf = np.sort(t).astype("<u8"), rng.random(len(t)) + 0.1
