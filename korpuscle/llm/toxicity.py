@@ -39,14 +39,22 @@ STEPS, BATCH, RATE, SEED = 180, 128, 0.02, 11
 #: Steps after which the windows are chosen anew; share of known words read by their characters alone in a step.
 RECHOOSE, DROP = 60, 0.35
 #: Windows run at once; words a task remembers.
-AT_ONCE, REMEMBER = 1024, 200_000
+AT_ONCE, REMEMBER = 1024, 300_000
 find_words = re.compile(r"[^\W\d_]+").findall
 F32 = np.float32
 
 
-def trigrams(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
-    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for i in range(len(w) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of all words, between ``<`` and ``>``, end to end, and how many are each word's; the empty word has none."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    code = np.frombuffer("".join([f"<{w}>" for w in words if w]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if not len(code):
+        return np.zeros(0, np.int64), sizes
+    mixed = code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D)
+    inside = np.ones(len(code), bool)
+    ends = np.cumsum(sizes[sizes > 0] + 2)
+    inside[ends - 1] = inside[ends - 2] = False  # a trigram starts at neither of a word's last two places
+    return ((mixed >> np.uint64(9)) % np.uint64(TRIGRAMS)).astype(np.int64)[inside[:-2]], sizes
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -81,17 +89,14 @@ class Model:
         self.p["words"][2:, 0] += odds.astype(F32)
         self.scale, self.shift = 1.0, 0.0
 
-    def char_rows(self, words: list[str]) -> list[list[int]]:
-        return [trigrams(w) if w else [] for w in words]
-
     def inputs(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """Input vectors of words; the empty word is padding."""
-        chars = np.zeros((len(words), DIM), F32)
-        rows = self.char_rows(words)
-        flat = np.array([t for r in rows for t in r], np.int64)
-        sizes = np.array([len(r) for r in rows])
-        np.add.at(chars, np.repeat(np.arange(len(words)), sizes), self.p["tri"][flat])
-        return np.hstack([self.p["words"][ids], chars / np.maximum(sizes, 1)[:, None].astype(F32)])
+        chars = np.zeros((len(words), DIM), self.p["tri"].dtype)
+        flat, sizes = trigrams(words)
+        has = sizes > 0
+        if len(flat):
+            chars[has] = np.add.reduceat(self.p["tri"][flat], (np.cumsum(sizes) - sizes)[has], axis=0) / sizes[has, None].astype(F32)
+        return np.hstack([self.p["words"][ids], chars])
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """[2, words, 3 hidden]: what a word adds to the gates of either direction."""
@@ -166,9 +171,8 @@ class Model:
         grad["b"] = g_table.sum(axis=1, keepdims=True)
         g_x = (g_table @ np.swapaxes(p["wx"], 1, 2)).sum(axis=0)
         np.add.at(grad["words"], ids, g_x[:, :DIM])
-        for row, g in zip(self.char_rows(words), g_x[:, DIM:], strict=True):
-            if row:
-                np.add.at(grad["tri"], row, g / len(row))
+        flat, sizes = trigrams(words)
+        np.add.at(grad["tri"], flat, np.repeat(g_x[:, DIM:] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
         for name, g in grad.items():
             m, v = moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
             m += F32(0.1) * (g - m)

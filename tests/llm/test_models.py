@@ -76,6 +76,12 @@ def test_windows_cover_all_words():
         assert seen == set(range(n)) and (np.diff(s) <= toxicity.STRIDE).all()
 
 
+def test_trigrams():
+    flat, sizes = toxicity.trigrams(["", "a", "bcd", "", "a"])
+    assert sizes.tolist() == [0, 1, 3, 0, 1] and len(flat) == 5 and flat[0] == flat[-1] and flat.max() < toxicity.TRIGRAMS
+    assert flat[1:4].tolist() == toxicity.trigrams(["bcd"])[0].tolist() and len(toxicity.trigrams([""])[0]) == 0
+
+
 def test_gradients():
     m = toxicity.Model(["a", "b", "c"], np.array([0.1, -0.2, 0.3]))
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
@@ -95,7 +101,7 @@ def test_gradients():
     for k, (first, _) in moments.items():
         grads[k] = first * 10  # the first moment after one step is a tenth of the gradient
     m.p = before
-    for name, at in (("u", (0, 1, 2)), ("u", (1, 3, 20)), ("wx", (1, 2, 9)), ("wa", (3, 1)), ("va", (2,)), ("words", (2, 1)), ("b", (0, 0, 17)), ("tri", (toxicity.trigrams("zz")[0], 3))):
+    for name, at in (("u", (0, 1, 2)), ("u", (1, 3, 20)), ("wx", (1, 2, 9)), ("wa", (3, 1)), ("va", (2,)), ("words", (2, 1)), ("b", (0, 0, 17)), ("tri", (int(toxicity.trigrams(["zz"])[0][0]), 3))):
         eps = 1e-3
         old = m.p[name][at]
         m.p[name][at] = old + eps
