@@ -212,10 +212,12 @@ def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     name = "korpuscle_row"
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     prints = cut(fingerprints(rows.select(F.col(name).alias("doc_id"), "text"), width).join(rows.select(F.col(name).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"))
-    grouped = prints.join(components(prints, threshold), "fp")
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))
-    first = grouped.groupBy("root").agg(F.min(place).alias("first"))
-    gone = grouped.join(first, "root").where(place > F.col("first")).select(F.col("doc_id").alias(name))
+    groups = prints.groupBy("fp").agg(F.min(place).alias("first")).join(components(prints, threshold), "fp")
+    first = groups.groupBy("root").agg(F.min("first").alias("first"))
+    # kept, so that both sides of the next join are dealt anew and a hot fingerprint can be split
+    of = cut(groups.select("fp", "root").join(first, "root").select("fp", "first"))
+    gone = prints.join(of, "fp").where(place > F.col("first")).select(F.col("doc_id").alias(name))
     return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
