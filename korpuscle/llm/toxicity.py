@@ -32,6 +32,8 @@ from .common import bounded_batches, columns_of, id_hash_mod, labelled
 
 #: Most labelled documents of either class in the sample.
 SAMPLE = 1200
+#: A longer document is not learned from, which bounds what the driver gets; it is scored as any other.
+SAMPLE_CHARS = 100_000
 WINDOW, STRIDE, HIDDEN = 40, 20, 8
 #: Known words, buckets of trigrams, and the width of their vectors.
 WORDS, TRIGRAMS, DIM = 4000, 2048, 8
@@ -341,7 +343,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     for c in (0, 1):  # at most 2 x sample ids, then their texts
         own = known.where(F.col("y") == c).orderBy("h", "doc_id").limit(sample)
         part = own if part is None else part.unionByName(own)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(part), "doc_id")
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    few = few.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(part), "doc_id")
     rows = few.orderBy("h", "doc_id", "text").limit(4 * sample).collect()
     if not rows:
         return None, 0.0
