@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import cut as cut
+
 #: Rows in an Arrow batch to a Python worker. Whole documents travel in these batches, so a
 #: batch is kept small enough that a run of long documents still fits a worker.
 BATCH_ROWS = 400
@@ -22,20 +23,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that the cluster names and cut its lineage.
-
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="korpuscle-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -567,7 +567,7 @@ def similarity_matrix(spark, d):
 
 @query()
 def vector_clusters(spark, d):
-    return vectors.cluster_vectors(table(spark, d, "embeddings").where("vec_id < 300"))
+    return vectors.cluster_all(table(spark, d, "embeddings"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,33 @@ def test_vectors(spark):
         vectors.cluster_vectors(df, limit=2)
 
 
+def test_clusters_of_a_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "LEFT", 2)
+    monkeypatch.setattr(vectors, "RIGHT", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 400)] + rng.normal(size=(400, 16)) * rng.choice([0.2, 0.4, 0.6], (400, 1))
+    x[rng.choice(400, 40, replace=False)] = x[0]
+    x[7] = 0
+    x = x.astype("float32")
+    want = vectors.cluster(x.astype(float))
+    assert len(set(want)) > 8 and (want[300:] >= 0).any() and (want < 0).any()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    more = spark.createDataFrame([(400, None), (401, [])], df.schema)
+    got = {r.vec_id: r.cluster for r in vectors.cluster_all(df.union(more).repartition(5)).collect()}
+    assert got == dict(enumerate([*want.tolist(), -1, -1]))
+    assert vectors.cluster_all(df.limit(0)).count() == 0
+
+
+def test_vector_clusters_takes_every_row(spark, tmp_path):
+    from korpuscle import queries
+
+    df = spark.createDataFrame([(i * 100, [1.0, i % 2 * 50.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in queries.vector_clusters(spark, str(tmp_path)).collect()}
+    assert got == {i * 100: i % 2 for i in range(20)}
+
+
 def test_cells(spark):
     df = spark.createDataFrame([("=1+1", "a@b.example.com 10.0.0.1")], "a string, b string")
     r = df.select(formula_guard(F.col("a")).alias("a"), mask_pii(F.col("b")).alias("b")).first()
