@@ -7,8 +7,9 @@ with s words, need = ceil(THETA * s) of them.
 
 The join orders the words of all templates by their count in the whole corpus, rarest first. Any
 block that holds ``need`` of s words holds one of the first s - need + 1 (prefix filter), so blocks meet templates
-on those words alone. A block with fewer distinct words than ``need`` cannot match (length filter), and
-neither can one that meets a template first at place p if s - p < need (positional filter). What is left is counted exactly.
+on those words alone. Words that no template has are dropped and the block's others put in the same order; a block of
+m < need of them cannot match (length filter), and neither can one whose place i meets the template's place p
+if min(m - i, s - p) < need (positional filter): a pair that matches passes at the first word it shares. What is left is counted exactly.
 
 Templates are a parameter of fixed size; the order of their words comes from counts over
 all documents. Defined cases: a null text counts as empty and has no words, places or
@@ -87,6 +88,11 @@ def word_order(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(words, key=lambda w: (counts.get(w, 0), w)))}
 
 
+def positional(words: Column, at: Column, size: Column, place: Column, need: Column) -> Column:
+    """Whether the words from a shared one on, it included, suffice on both sides."""
+    return F.least(words - at, size - place) >= need
+
+
 def block_matches(blocks: DataFrame, rows: list, order: dict[str, int]) -> DataFrame:
     """(row, label, share) for each block (row, words) and template that match."""
     spark = blocks.sparkSession
@@ -98,9 +104,12 @@ def block_matches(blocks: DataFrame, rows: list, order: dict[str, int]) -> DataF
     prefix = spark.createDataFrame(index, "word string, template int, place int, size int, need int")
     full = spark.createDataFrame(whole, "template int, label string, wanted array<string>, need int").drop("need")
     first = sorted({w for w, *_ in index})
+    ranked = F.array(*[F.lit(w) for w in sorted({w for _, _, words, _ in rows for w in words}, key=order.__getitem__)])
+    least = min(need for *_, need in rows)
+    own = blocks.select("row", "line", F.array_intersect(ranked, F.col("words")).alias("words")).where(F.size("words") >= least)
     # only words that start a prefix are dealt out, so a frequent word is no hot key
-    keyed = blocks.withColumn("word", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in first]))))
-    met = keyed.join(F.broadcast(prefix), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
+    keyed = own.select("row", "line", "words", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(first))
+    met = keyed.join(F.broadcast(prefix), "word").where(positional(F.size("words"), F.col("at"), F.col("size"), F.col("place"), F.col("need")))
     pairs = met.dropDuplicates(["row", "line", "template"]).join(F.broadcast(full), "template")
     shared = F.size(F.array_intersect("words", "wanted"))
     return pairs.where(shared >= F.col("need")).select("row", "label", (shared / F.col("size")).alias("share"))

@@ -131,6 +131,13 @@ def test_license_scan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_license_filter_by_place(spark):
+    rows = [(13, 0, 13, 0, 12), (13, 2, 13, 1, 12), (13, 1, 13, 2, 12), (12, 1, 13, 0, 12), (5, 0, 13, 0, 12)]
+    df = spark.createDataFrame(rows, "words int, at int, size int, place int, need int")
+    got = df.select(licenses.positional(*[F.col(c) for c in df.columns]).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, False, False, False, False]
+
+
 def slow_search(texts, k):
     vec = [Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))) for _, t in texts]
     n, mean = len(vec), sum(sum(v.values()) for v in vec) / max(1, len(vec))
