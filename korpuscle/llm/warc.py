@@ -1,13 +1,14 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
 A response record gives two records that refer to it: ``metadata``, JSON with the source's
-WARC and HTTP headers, title and links; and ``conversion``, the visible text. Both keep the target URI and
+WARC and HTTP headers (of a header that stands several times, the list of its values in their order), title and links; and ``conversion``, the visible text. Both keep the target URI and
 date, name the response in WARC-Refers-To, carry the response's payload digest in the
 metadata, and digests of their own blocks. Record ids are UUIDs of the source's id and the kind, so a task that runs again writes
 the same records.
 
 Defined cases: null or empty html is a response with an empty body, whose text is empty; a
-null url is left out of the headers; records of other types derive nothing; a record that
+null url is left out of the headers; chunks, gzip and deflate are undone before the text is taken, and a body that is not in the encoding its headers
+name, as crawlers leave it, is taken as it is; a body in another encoding has metadata that names it, without title and links, and no conversion; records of other types derive nothing; a record that
 breaks off is an error that names its place; repeated rows give equal records; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,6 +34,7 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:korpuscle:warc")
 #: The date of records whose source gives none.
 DATE = "2024-01-01T00:00:00Z"
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
 _HREF = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -82,6 +85,55 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def by_name(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """The values of each header: the one, or the list of them."""
+    out: dict[str, list[str]] = {}
+    for k, v in headers:
+        out.setdefault(k, []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The chunks put together, as far as they go; a body without any as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        at = m.end() + int(m[1], 16)
+        out.append(body[m.end() : at])
+        if at == m.end():
+            break
+        at += 2 * (body[at : at + 2] == b"\r\n")
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, kind: str) -> bytes:
+    """The data of one or more compressed members, as far as they go; a body that is not compressed as it is."""
+    if kind == "deflate":
+        bits = 15 if len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0 else -15
+    else:
+        bits = 31
+    out, rest = [], body
+    while rest:
+        member = zlib.decompressobj(bits)
+        try:
+            out += [member.decompress(rest[i : i + 65536]) for i in range(0, len(rest), 65536)]
+        except zlib.error:
+            break
+        rest = member.unused_data
+    return b"".join(out) or body
+
+
+def undone(body: bytes, encodings: str) -> bytes | None:
+    """body without the encodings, the last of the list first; None if one of them is not known."""
+    for kind in reversed([e for x in encodings.lower().split(",") if (e := x.strip()) and e != "identity"]):
+        if kind == "chunked":
+            body = _dechunked(body)
+        elif kind in ("gzip", "x-gzip", "deflate"):
+            body = _inflated(body, kind)
+        else:
+            return None
+    return body
+
+
 def response(key: str, url: str | None, html: str | None, date: str = DATE) -> bytes:
     """A response record of a page."""
     body = (html or "").encode("utf-8", "surrogatepass")
@@ -93,25 +145,33 @@ def response(key: str, url: str | None, html: str | None, date: str = DATE) -> b
 
 
 def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
-    """The metadata and the conversion record of a response; of others none."""
+    """The metadata and the conversion record of a response; of others none. A body that cannot be decoded has no conversion."""
     if get(headers, "WARC-Type") != "response":
         return []
     head, _, body = block.partition(b"\r\n\r\n")
     status, _, lines = head.partition(b"\r\n")
     http = _headers(lines)
     charset = re.search(r"charset=([\w-]+)", get(http, "Content-Type") or "")
+    transfer, content = (", ".join(v for k, v in http if k.lower() == name) for name in ("transfer-encoding", "content-encoding"))
+    payload = undone(body, transfer)
+    data = None if payload is None else undone(payload, content)
+    body = body if payload is None else payload
     try:
-        html = body.decode(charset[1] if charset else "utf-8", "replace")
+        html = (data or b"").decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        html = body.decode("utf-8", "replace")
+        html = (data or b"").decode("utf-8", "replace")
     source = get(headers, "WARC-Record-ID") or ""
     title = _TITLE.search(html)
     links = [unescape(next(x for x in m if x is not None)) for m in (g.groups() for g in _HREF.finditer(html)) if any(x is not None for x in m)]
     envelope = {
-        "WARC-Header-Metadata": dict(headers), "HTTP-Response-Metadata": {"Status": status.decode("latin-1"), "Headers": dict(http)}, "Payload-Digest": get(headers, "WARC-Payload-Digest") or sha1(body),
+        "WARC-Header-Metadata": by_name(headers), "HTTP-Response-Metadata": {"Status": status.decode("latin-1"), "Headers": by_name(http)}, "Payload-Digest": get(headers, "WARC-Payload-Digest") or sha1(body),
         "Payload-Length": len(body), "HTML-Metadata": {"Title": " ".join(unescape(title[1]).split()) if title else None, "Links": links},
     }
-    blocks = {"metadata": json.dumps({"Envelope": envelope}, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass"), "conversion": "".join(b.text + "\n" for b in blocks_of(html)).encode("utf-8", "surrogatepass")}
+    if data is None:
+        envelope["Not-Decoded"] = ", ".join(x for x in (content, transfer) if x)
+    blocks = {"metadata": json.dumps({"Envelope": envelope}, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")}
+    if data is not None:
+        blocks["conversion"] = "".join(b.text + "\n" for b in blocks_of(html)).encode("utf-8", "surrogatepass")
     out = []
     for kind, data in blocks.items():
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Date", get(headers, "WARC-Date") or DATE)]

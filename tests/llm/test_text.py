@@ -1,8 +1,10 @@
 """HTML extraction, WARC derivatives, license scan, search."""
 
+import gzip
 import json
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -75,6 +77,37 @@ def test_warc_records():
             list(warc.read_records(broken))
 
 
+def derived(http, body, **more):
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), *more.get("warc", [])]
+    block = "\r\n".join(["HTTP/1.1 200 OK", *http]).encode() + b"\r\n\r\n" + body
+    kinds = {k: b for k, _, b in warc.derive(head, block)}
+    return json.loads(kinds["metadata"])["Envelope"], kinds.get("conversion")
+
+
+def test_warc_keeps_repeated_headers():
+    j, _ = derived(["Set-Cookie: a=1", "Via: x", "Set-Cookie: b=2"], b"<p>a", warc=[("WARC-Concurrent-To", "<1>"), ("WARC-Concurrent-To", "<2>")])
+    assert j["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a=1", "b=2"], "Via": "x"}
+    assert j["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<1>", "<2>"]
+
+
+def test_warc_undoes_encodings():
+    page = "<title>T</title><p>Grüße an alle".encode()
+    raw = zlib.compressobj(wbits=-15)
+    packed = {"gzip": gzip.compress(page[:9]) + gzip.compress(page[9:]), "x-gzip": gzip.compress(page), "deflate": zlib.compress(page), "Deflate": raw.compress(page) + raw.flush(), "identity": page}
+    chunked = lambda b: b"".join(b"%x;e=1\r\n%s\r\n" % (len(c), c) for c in (b[i : i + 7] for i in range(0, len(b), 7))) + b"0\r\nTrailer: x\r\n\r\n"
+    want = "Grüße an alle\n".encode()
+    for kind, body in packed.items():
+        j, text = derived([f"Content-Encoding: {kind}"], body)
+        assert (text, j["HTML-Metadata"]["Title"], j["Payload-Length"]) == (want, "T", len(body))
+        j, text = derived([f"Content-Encoding: {kind}", "Transfer-Encoding: chunked"], chunked(body))
+        assert text == want and j["Payload-Length"] == len(body)
+    assert derived(["Transfer-Encoding: gzip, chunked"], chunked(gzip.compress(page)))[1] == want
+    assert derived(["Transfer-Encoding: chunked", "Content-Encoding: gzip"], page)[1] == want
+    assert derived(["Transfer-Encoding: chunked"], chunked(page)[:-30])[1].startswith("Gr".encode())
+    j, text = derived(["Content-Encoding: br"], b"\x8b\x00")
+    assert text is None and j["Not-Decoded"] == "br" and j["HTML-Metadata"] == {"Title": None, "Links": []}
+
+
 def test_warc_tables(spark):
     rows = [(1, "u", "<p>a", 0), (1, "u", "<p>a", 0), (2, None, None, 0), (None, "w", "", 0)]
     out = warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string, kind long")).collect()
