@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_ENDS
+from ..functions.text import SENTENCE_ENDS, tokens_of
 from .corpus import Corpus
 
 GAP, MIN_SIMILARITY, CELLS = 1.0, 0.5, 4_000_000
@@ -80,19 +80,33 @@ def sentences(words: list[str]) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def align(pairs: DataFrame) -> DataFrame:
-    """Sentence pairs of (pair_id, left array<string>, right array<string>); a pair over the budget has one row not_applicable."""
+def versions(turns: DataFrame, key: str, anchor: str) -> DataFrame:
+    """pair_id, version_id, left and right: the words of a group's anchor with those of each of its other turns.
+
+    The anchor is the first turn of the role ``anchor``, as in ``groups``, or the first turn of a group without one.
+    """
+    t = turns.select(F.col(key).alias("pair_id"), F.col("turn").cast("long").alias("version_id"), "role", tokens_of(F.col("text")).alias("right"))
+    first = F.min(F.struct((F.col("role") != anchor).alias("other"), F.col("version_id").alias("anchor_id"), F.col("right").alias("left")))
+    anchors = t.groupBy("pair_id").agg(first.alias("a")).select("pair_id", "a.anchor_id", "a.left")
+    return t.join(anchors, "pair_id").where("version_id <> anchor_id").select("pair_id", "version_id", "left", "right")
+
+
+def align(pairs: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """Sentence pairs of (pair_id, left array<string>, right array<string>); a pair over the budget has one row not_applicable.
+
+    ``keys`` are the columns of long that name a pair.
+    """
 
     def run(batches):
         for df in batches:
             rows = []
-            for pair_id, a, b in zip(df["pair_id"], df["left"], df["right"], strict=True):
+            for *key, a, b in zip(*(df[k] for k in keys), df["left"], df["right"], strict=True):
                 found = align_sentences(sentences(list(a)), sentences(list(b)))
-                rows += [(pair_id, None, None, None, "not_applicable")] if found is None else [(pair_id, i, j, s, "pair" if i is not None and j is not None else "gap") for i, j, s in found]
-            out = pd.DataFrame(rows, columns=["pair_id", "left_sent", "right_sent", "similarity", "kind"])
+                rows += [(*key, None, None, None, "not_applicable")] if found is None else [(*key, i, j, s, "pair" if i is not None and j is not None else "gap") for i, j, s in found]
+            out = pd.DataFrame(rows, columns=[*keys, "left_sent", "right_sent", "similarity", "kind"])
             yield out.astype({"left_sent": "Int32", "right_sent": "Int32"})
 
-    return pairs.select("pair_id", "left", "right").mapInPandas(run, "pair_id long, left_sent int, right_sent int, similarity double, kind string")
+    return pairs.select(*keys, "left", "right").mapInPandas(run, ", ".join(f"{k} long" for k in keys) + ", left_sent int, right_sent int, similarity double, kind string")
 
 
 def parallel_lines(corpus: Corpus, hits: DataFrame, key: str) -> DataFrame:

@@ -316,7 +316,7 @@ def keyness_stats(spark, d):
 @query()
 def keyness_inference(spark, d):
     """p-values, q-values and conservative log ratios need functions that SQL lacks."""
-    return keyness.keyness(corpus(spark, d), *en_de(), min_freq=20)
+    return keyness.keyness(corpus(spark, d), *en_de())
 
 
 @query(_MARK.format(scope="") + ", k AS (SELECT word_lc, count(*) FILTER (in_w) AS a, count(*) FILTER (NOT in_w) AS c FROM m WHERE is_word AND (NOT is_start OR in_w) GROUP BY word_lc) " + _KSQL.format(cols=", ".join(f"round({_KEY[k]},6)+0.0 AS {k}" for k in ("ll", "log_ratio", "bic"))))
@@ -326,7 +326,7 @@ def context_keyness(spark, d):
 
 @query()
 def colloc_lrc(spark, d):
-    return collocation.collocates(corpus(spark, d), NODE, 5, "s", min_freq=20, with_lrc=True).select("collocate", "o11", "lrc")
+    return collocation.collocates(corpus(spark, d), NODE, 5, "s", min_freq=5, with_lrc=True).select("collocate", "o11", "lrc")
 
 
 @query()
@@ -506,10 +506,10 @@ def pair_groups(spark, d):
 
 @query()
 def align_pairs(spark, d):
-    from .functions.text import tokens_of
-
-    t = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("pair_id")).agg(F.min_by("text", "turn").alias("l"), F.max_by("text", "turn").alias("r"))
-    return pairs.align(t.select("pair_id", tokens_of(F.col("l")).alias("left"), tokens_of(F.col("r")).alias("right")))
+    """The anchor of each conversation, as in pair_groups, with each of its other turns."""
+    found = pairs.versions(table(spark, d, "conversations"), "conv_id", "user")
+    # dealt anew, so that a long conversation is not aligned in one task
+    return pairs.align(found.repartition("pair_id", "version_id"), ("pair_id", "version_id"))
 
 
 _ANN = "(SELECT event_id//3 AS row_id, event_id%3 AS coder, event_type AS category FROM events)"

@@ -1,6 +1,7 @@
 """Operators against small hand-checked or brute-force cases."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -136,6 +137,31 @@ def test_alignment(spark):
     assert got == [(0, 0, "pair"), (None, 1, "gap"), (1, 2, "pair")]
 
 
+def test_every_turn_is_aligned(spark, tmp_path):
+    from korpuscle import queries
+
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "a b c. d e."), (1, 2, "assistant", "a b c. x y z. d e."), (1, 3, "user", "d e."), (1, 4, "assistant", None), (2, 0, "system", "x y."), (2, 1, "assistant", "x y."), (3, 0, "user", "alone.")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for r in queries.align_pairs(spark, str(tmp_path)).collect():
+        got.setdefault((r.pair_id, r.version_id), []).append((r.left_sent, r.right_sent, r.kind))
+    assert got == {
+        (1, 0): got[1, 0], (1, 2): [(0, 0, "pair"), (None, 1, "gap"), (1, 2, "pair")], (1, 3): [(0, None, "gap"), (1, 0, "pair")], (1, 4): [(0, None, "gap"), (1, None, "gap")], (2, 1): [(0, 0, "pair")],
+    }
+
+
+def test_inference_from_five_occurrences(spark):
+    from korpuscle import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the tables are not here")
+    key = queries.keyness_inference(spark, data)
+    assert key.where("a + c < 5").count() == 0 and key.where("a + c < 20 and p is not null and q is not null").count() > 0
+    lrc = queries.colloc_lrc(spark, data)
+    assert lrc.where("o11 < 5").count() == 0 and lrc.where("o11 < 20 and lrc is not null").count() > 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vectors.nearest(df, [1.0, 0.0], 2).collect()] == [0, 1]
