@@ -12,8 +12,11 @@ leaves only such pairs, so the joined sequence is the one that direct encoding g
 In ``encode_documents`` the leaves of very long words become rows of their own, are dealt
 over all tasks, and meet again ordered by position in the task of their document.
 
+Only the settings of the two supported files are known here; a file with others is an error.
+
 Defined cases: a null text counts as empty; an empty text has no tokens and the digests of
-zero bytes; repeated rows give repeated results; other columns of the input are ignored.
+zero bytes; a very long text is a row like any other, its long words dealt out; repeated rows give
+repeated results; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import bounded_batches, columns_of, to_batch
+from .common import bounded_batches, columns_of, cut, to_batch
 
 #: Symbols of a word that are encoded at once.
 LEAF = 256
@@ -44,12 +47,42 @@ CACHE_WORDS = 300_000
 # Letters and numbers among the characters up to U+024F, where Unicode versions agree.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
-#: The split patterns that the two supported files name, on those characters.
-_SPLITS = {
-    "words": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\r {_L}{_N}]+",
-    "spaced": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\t\n\r {_L}{_N}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+",
+_KNOWN = frozenset("\t\n\r" + "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250)])))
+
+
+def odd_characters(lower: bool) -> re.Pattern:
+    """Characters that the split patterns below do not know, and those whose lower case they do not know."""
+    known = [c for c in sorted(_KNOWN) if not lower or _KNOWN.issuperset(c.lower())]
+    return re.compile("[^" + re.escape("".join(known)) + "]")
+
+
+#: The settings of the two supported files, and their split patterns on known characters.
+_LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_SPLIT_BYTES = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _RUNS}, "behavior": "Removed", "invert": True}, {**_BYTES, "use_regex": False}],
 }
+_JOIN_BYTES = {**_BYTES, "add_prefix_space": True}
+_SUPPORTED = {
+    "words": (_LOWERING, _SPLIT_BYTES, None, rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t\n\r {_L}{_N}]+"),
+    "spaced": (
+        None, _BYTES, _JOIN_BYTES,
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\t\n\r {_L}{_N}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+",
+    ),
+}
+
+
+def kind_of(spec: dict) -> str:
+    """Which of the supported settings a tokenizer file has; ValueError if it has others."""
+    m = spec["model"]
+    plain = m["type"] == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(t["special"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
+    for kind, (normalizer, splitter, decoder, _) in _SUPPORTED.items():
+        if plain and added and spec.get("post_processor") is None and (spec["normalizer"], spec["pre_tokenizer"], spec["decoder"]) == (normalizer, splitter, decoder):
+            return kind
+    raise ValueError("the tokenizer file's normalizer, pre-tokenizer, decoder, model options or added tokens are none of the supported ones")
 
 
 def byte_symbols() -> list[str]:
@@ -78,9 +111,12 @@ class Codec:
         self.inner = BPE(vocab=m["vocab"], merges=merges)
         self.final = BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.lower = d["normalizer"] is not None
-        self._split = re.compile(_SPLITS["words" if self.lower else "spaced"]).findall
+        longest = sorted(self.special, key=lambda t: (-len(t), t))
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if self.special else None
+        kind = kind_of(d)
+        self.lower = kind == "words"
+        self._odd = odd_characters(self.lower).search
+        self._split = re.compile(_SUPPORTED[kind][3]).findall
         self._bytes = byte_symbols()
         self._map = dict(enumerate(self._bytes))
         names = sorted([*m["vocab"].items(), *self.special.items()], key=lambda x: x[1])
@@ -99,7 +135,7 @@ class Codec:
 
     def words(self, text: str) -> tuple[list[str], bool]:
         """The words of a text without special tokens; True if they are byte symbols already."""
-        if not _ODD.search(text):
+        if not self._odd(text):
             return self._split(text.lower() if self.lower else text), False
         norm = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm)], True
@@ -223,18 +259,21 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("part", pa.int64()), ("leaf", pa.int32()), ("data", pa.binary()), ("done", pa.binary())])
-_PARTS_DDL = "doc_id long, key binary, part long, leaf int, data binary, done binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded", pa.string())])
 _OUT_DDL = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string, decoded string"
+_PIECE = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("part", pa.int64()), ("leaf", pa.int32()), ("data", pa.binary())])
+_PIECE_DDL = "doc_id long, key binary, part long, leaf int, data binary"
+_FIRST = pa.schema([*_OUT, *list(_PIECE)[1:]])
+_FIRST_DDL = _OUT_DDL + ", key binary, part long, leaf int, data binary"
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """Encode and decode the texts of (doc_id, text).
 
     Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit; null unless ``keep_ids``),
-    ids_sha256, decoded_sha256 and decoded (null unless ``keep_text``). Only documents with
-    a word over SPREAD leave the first task as more than one finished row.
+    ids_sha256, decoded_sha256 and decoded (null unless ``keep_text``). The first pass is
+    written to the checkpoint folder; documents without a word over SPREAD are finished there and
+    meet no shuffle, only the pieces of the others are dealt out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -253,30 +292,30 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
             for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
                 parts = list(codec.parts(text))
                 if all(isinstance(p, bytes) for p in parts):
-                    rows.append((doc_id, None, 0, 0, None, json.dumps(dump(finish(codec, b"".join(parts)))).encode()))
+                    rows.append((doc_id, *finish(codec, b"".join(parts)), None, None, None, None))
                     continue
                 key, n = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0
                 for p in parts:
                     if isinstance(p, bytes):
-                        rows.append((doc_id, key, n, 0, p, None))
-                        n += 1
-                        continue
-                    for i in range(0, len(p), SPREAD):  # leaf: 1 within a word, 2 at its end
-                        rows.append((doc_id, key, n, 2 if i + SPREAD >= len(p) else 1, p[i : i + SPREAD].encode(), None))
+                        pieces = [(0, p)]
+                    else:  # leaf: 1 within a word, 2 at its end
+                        pieces = [(2 if i + SPREAD >= len(p) else 1, p[i : i + SPREAD].encode()) for i in range(0, len(p), SPREAD)]
+                    for leaf, data in pieces:
+                        rows.append((doc_id, None, None, None, None, None, key, n, leaf, data))
                         n += 1
-            yield to_batch(_PARTS, rows)
+            yield to_batch(_FIRST, rows)
 
     def leaves(batches):
         codec = codec_of(spec)
         for batch in batches:
             rows = []
-            for doc_id, key, part, leaf, data, done in zip(*columns_of(batch, *_PARTS.names), strict=True):
-                rows.append((doc_id, key, part, leaf, pack(codec.tree(data.decode(), leaf == 2)) if leaf else data, done))
-            yield to_batch(_PARTS, rows)
+            for doc_id, key, part, leaf, data in zip(*columns_of(batch, *_PIECE.names), strict=True):
+                rows.append((doc_id, key, part, leaf, pack(codec.tree(data.decode(), leaf == 2)) if leaf else data))
+            yield to_batch(_PIECE, rows)
 
     def last(batches):
         codec = codec_of(spec)
-        own, parts, copies = None, [], 0
+        own, parts, copies, at = None, [], 0, -1
 
         def close():
             out, word = [], []
@@ -292,11 +331,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
 
         for batch in batches:
             rows = []
-            at = -1 if not parts else len(parts) - 1
-            for doc_id, key, part, leaf, data, done in zip(*columns_of(batch, *_PARTS.names), strict=True):
-                if done is not None:
-                    rows.append((doc_id, *load(json.loads(done))))
-                    continue
+            for doc_id, key, part, leaf, data in zip(*columns_of(batch, *_PIECE.names), strict=True):
                 if own != (doc_id, key):
                     if own is not None:
                         rows += close()
@@ -309,14 +344,9 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True, keep_tex
         if own is not None:
             yield to_batch(_OUT, close())
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, _PARTS_DDL)
-    dealt = made.repartition(F.col("doc_id"), F.col("part")).mapInArrow(leaves, _PARTS_DDL)
-    return dealt.repartition(F.col("doc_id"), F.col("key")).sortWithinPartitions("doc_id", "key", "part").mapInArrow(last, _OUT_DDL)
-
-
-def dump(x: tuple) -> list:
-    return [v.hex() if isinstance(v, bytes) else v for v in x]
-
-
-def load(x: list) -> tuple:
-    return (x[0], None if x[1] is None else bytes.fromhex(x[1]), *x[2:])
+    made = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, _FIRST_DDL))
+    finished = made.where("key is null").select(*_OUT.names)
+    pieces = made.where("key is not null").select(*_PIECE.names)
+    dealt = pieces.repartition(F.col("doc_id"), F.col("part")).mapInArrow(leaves, _PIECE_DDL)
+    joined = dealt.repartition(F.col("doc_id"), F.col("key")).sortWithinPartitions("doc_id", "key", "part").mapInArrow(last, _OUT_DDL)
+    return finished.unionByName(joined)

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -27,6 +28,30 @@ def test_is_the_library(path):
                 assert codec.decode(got).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_known_letter(path):
+    """All characters up to U+024F alone, in pairs and in triples with letters, and odd ones among them."""
+    lib, codec, rnd = Tokenizer.from_file(path), bpe.Codec(bpe.read_spec(path)), random.Random(6)
+    low = [chr(c) for c in range(0x250)]
+    odd = [chr(c) for c in (0x250, 0x2BC, 0x301, 0x307, 0x345, 0x3A3, 0x3C2, 0x430, 0x1E9E, 0x200B, 0x2028, 0x2126, 0x212A, 0x212B, 0x3000, 0x4E2D, 0xFB01, 0xFEFF, 0x1F600)]
+    texts = ["Əli", "ƏLİYEV", "Ɓoko", "ƐWE", "Ɗan", *low, *odd]
+    texts += [a + b for a in low for b in rnd.sample(low, 12)]
+    texts += ["".join(rnd.choice(low if rnd.random() < 0.9 else odd) for _ in range(rnd.randint(3, 12))) for _ in range(12_000)]
+    texts += [rnd.choice("aZ 9'") + a + rnd.choice("bÉ s\n") for a in low + odd for _ in range(4)]
+    for text, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == e.ids, ascii(text)
+
+
+def test_other_settings_are_an_error():
+    spec = json.loads(bpe.read_spec(WORD))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}, {"model": {**spec["model"], "dropout": 0.1}}):
+        with pytest.raises(ValueError, match="supported"):
+            bpe.kind_of({**spec, **change})
+    stripped = [{**t, "lstrip": True} for t in spec["added_tokens"]]
+    with pytest.raises(ValueError, match="supported"):
+        bpe.kind_of({**spec, "added_tokens": stripped})
+
+
 def test_join_agrees_wherever_it_is_cut():
     codec = bpe.Codec(bpe.read_spec(BYTE))
     rnd = random.Random(4)
