@@ -74,18 +74,29 @@ SELECT query_id, rank::INT AS rank, doc_id, round(score,6) AS score FROM (SELECT
 
 
 def license_sql() -> str:
-    rows = licenses.template_rows(licenses.TEMPLATES, licenses.THETA)
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in words)}], {need})" for _, label, words, need in rows)
+    """Every word of a template found in a text starts a block of the template's width, counted by lists; no parts, order or filters of the join."""
+
+    def strings(words: list[str]) -> str:
+        return "[" + ", ".join(repr(w) for w in words) + "]::VARCHAR[]"
+
+    def lists(rows: list[list[str]]) -> str:
+        return "[" + ", ".join(strings(r) for r in rows) + "]::VARCHAR[][]"
+
+    rows = licenses.template_rows(licenses.TEMPLATES)
+    templates = ", ".join(f"('{t.label}', {strings(t.words)}, {t.need}, {t.width}, {strings(t.telling)}, {lists(t.rivals)})" for t in rows)
     places = []
     for phrase, label in licenses.PHRASES.items():
         words = phrase.split()
         test = " AND ".join(f"w[i+{k}]='{x}'" for k, x in enumerate(words))
         places.append(f"SELECT r, i-1 AS place, '{label}' AS label FROM (SELECT r, w, unnest(range(1, len(w)-{len(words) - 2})) AS i FROM d WHERE len(w) >= {len(words)}) WHERE {test}")
-    line = _WORDS.format("line")
-    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {_WORDS.format("text")} AS w FROM documents), t(label, words, need) AS (VALUES {templates}),
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+t(label, words, need, width, telling, rivals) AS (VALUES {templates}),
 b AS ({" UNION ALL ".join(places)}), bb AS (SELECT r, count(*) AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word, array_to_string(list_sort(list(DISTINCT label)),',') AS base_labels FROM b GROUP BY r),
-x AS (SELECT r, list_distinct({line}) AS lw FROM (SELECT r, unnest(string_split(coalesce(text,''), chr(10))) AS line FROM d)),
-m AS (SELECT r, label, len(list_intersect(lw, words))::DOUBLE/len(words) AS share FROM x, t WHERE len(list_intersect(lw, words)) >= need),
+k AS (SELECT r, w, t.* FROM d, t WHERE len(list_intersect(list_distinct(w), words)) >= need),
+p AS (SELECT * FROM (SELECT *, unnest(range(1, len(w)+1)) AS i FROM k) WHERE list_contains(words, w[i])),
+x AS (SELECT r, label, words, need, telling, rivals, list_distinct(list_slice(w, i, i+width-1)) AS held FROM p),
+m AS (SELECT r, label, len(list_intersect(held, words))::DOUBLE/len(words) AS share FROM x
+WHERE len(list_intersect(held, words)) >= need AND list_has_all(held, telling) AND len([e FOR e IN rivals IF list_has_all(held, e)]) = 0),
 a AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)),',') AS labels, max(share) AS share FROM (SELECT r, label, share FROM m UNION ALL SELECT r, label, 1.0 FROM b) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base,0) AS n_base, first_word, last_word, coalesce(base_labels,'') AS base_labels, coalesce(labels,'') AS labels,
 CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share,0.0) END::DOUBLE AS score FROM d LEFT JOIN bb USING (r) LEFT JOIN a USING (r)"""
