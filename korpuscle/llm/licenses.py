@@ -10,7 +10,7 @@ needs all of them, side by side; a longer one needs ceil(``THETA`` * s) of them
 the ``width`` words from any word of the template on. Of two templates with different labels, the words of one within the
 other's, a block that also has all the other words of the greater one counts for the greater one alone.
 
-The join orders the words of all templates by their count in the whole corpus, rarest first. It meets
+The join orders the words of all templates by the count of all documents that hold them, rarest first. It meets
 parts of documents, 2 * ``span`` words from every span-th word on, so that each block lies within one of
 them; a part is the set of template words it holds, in that order. A block that holds ``need`` of s words holds one of the
 first s - need + 1, so parts meet templates on those words alone (prefix filter). A part with m < need
@@ -105,14 +105,14 @@ SHORT = 10
 _OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def spaced(text: Column) -> Column:
-    """The words of a text, lower-cased, with one blank between.
+def words_of(text: Column) -> Column:
+    """The words of a text, lower-cased.
 
-    ``lower`` lower-cases all letters; the only one beside A-Z that becomes an ASCII letter by itself is
-    the Kelvin sign, which gives way to another sign first, and ones that grow (I with a dot above) grow by signs that are parts of words.
+    ``lower`` takes all letters, faster than A-Z alone, and parts the same words: the one other letter that
+    becomes an ASCII word is the Kelvin sign, which gives way to the Ohm sign first.
     """
-    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Ω")))
-    return F.trim(F.regexp_replace(F.replace(low, F.lit("i̇"), F.lit("ı̇")), _OTHERS, " "))
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u2126")))
+    return F.array_remove(F.split(low, _OTHERS), "")
 
 
 def count_of(text: Column, what: str) -> Column:
@@ -151,10 +151,11 @@ def template_rows(templates: dict[str, list[str]], theta: float = THETA, short:
 
 
 def word_order(docs: DataFrame, words: list[str]) -> list[str]:
-    """The given words, rarest in the corpus first; ties by the word."""
-    every = docs.select(F.explode(F.split(spaced(F.col("text").cast("string")), " ")).alias("word")).where(F.col("word").isin(words))
-    counts = {r["word"]: r["count"] for r in every.groupBy("word").count().collect()}  # at most the templates' words
-    return sorted(words, key=lambda w: (counts.get(w, 0), w))
+    """The given words, those in the fewest documents first; ties by the word."""
+    held = F.array_intersect(words_of(F.col("text").cast("string")), F.array(*[F.lit(w) for w in words]))
+    counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
+    known = {r["word"]: r["count"] for r in counts.collect()}  # at most the templates' words
+    return sorted(words, key=lambda w: (known.get(w, 0), w))
 
 
 def positional(words: Column, at: Column, size: Column, place: Column, need: Column) -> Column:
@@ -210,13 +211,12 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     rows = template_rows(TEMPLATES if templates is None else templates, theta, short)
     order = word_order(docs, sorted({w for t in rows for w in t.words})) if rows else []
     rank = {w: i for i, w in enumerate(order)}
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text").cast("string")).alias("text"))
-    text = text.withColumn("words", F.split("text", " "))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
 
     found = [(label, f"  {phrase.replace(' ', '  ')}  ") for phrase, label in PHRASES.items()]
-    f = F.concat(F.lit(" "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    has = [F.contains("text", F.lit(phrase)) & F.contains(f, F.lit(what[1:-1])) for phrase, (_, what) in zip(PHRASES, found, strict=True)]
-    n_words = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size("words")).cast("long")
+    f = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))
+    has = [F.array_contains("words", phrase.split()[-1]) & F.contains(f, F.lit(what[1:-1])) for phrase, (_, what) in zip(PHRASES, found, strict=True)]
+    n_words = F.size("words").cast("long")
     counts = [F.when(h, count_of(f, what[1:-1])).otherwise(F.lit(0)) for h, (_, what) in zip(has, found, strict=True)]
     starts = [F.when(h, words_before(F.substring_index(f, what[1:-1], 1))) for h, (_, what) in zip(has, found, strict=True)]
     ends = [F.when(h, n_words - words_before(F.substring_index(f, what[1:-1], -1)) - len(what.split())) for h, (_, what) in zip(has, found, strict=True)]
