@@ -6,19 +6,26 @@ still count by their characters. The network reads windows of ``WINDOW`` words,
 the next; attention weighs the states of both directions, and a document's score is that
 of its highest window. Every window of every text is scored.
 
-Labels belong to documents, so the windows to learn from are chosen: first those of toxic
-documents with the words most bound to the label, then, by the network itself, the highest
-window of each document. It is fitted on at most ``SAMPLE`` labelled documents of either
-class, those whose ids hash lowest; the driver gets their texts, nothing else.
-
-Defined cases: a null or empty text is one window of padding and gets its score; labels of
+It is fitted on at most ``SAMPLE`` labelled documents of either class, those whose ids hash lowest, of any length. Their
+texts stay on the executors: these count words, and pick up to ``TOP`` + ``CHANCE`` windows of
+each document to learn from, those with the words most bound to the label and some by chance; the driver gets
+counts and picked windows. After ``MINE`` steps the executors add the ``HARD`` windows of each document that the network
+itself holds for the most toxic. Labels belong to documents, so of a toxic document's windows first the one with the most bound
+words, then, by the network itself, the highest ones are learned as toxic. The cut between
+the classes comes from the highest of all windows of each sampled document, scored on the executors.
+
+Of sampled documents with one label that share one of two least hashes of their word 4-grams (copies, near copies), the
+first by id hash is learned from, so that a group of copies does not outweigh the rest; both classes stay.
+Of rows with one id, that with the least text is learned from.
+
+Defined cases: a null or empty text is one window of padding and gets its score; a very long text is
+scored whole, its windows a few thousand at a time; equal windows give equal scores, of equally high ones the first is learned; labels of
 one class give every text that class; no labels 0; repeated rows give repeated results;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -28,18 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns_of, id_hash_mod, labelled
+from .common import bounded_batches, columns_of, cut, id_hash_mod, labelled, to_batch
 
 #: Most labelled documents of either class in the sample.
 SAMPLE = 1200
-#: A longer document is not learned from, which bounds what the driver gets; it is scored as any other.
-SAMPLE_CHARS = 100_000
+#: Windows of a sampled document that are learned from: with the strongest words, by chance, and, from step MINE on, the highest.
+TOP, CHANCE, HARD, MINE = 8, 8, 4, 60
+#: In learning a longer word stands by its first letters, which bounds what the driver gets; scoring reads it whole.
+LETTERS = 64
 WINDOW, STRIDE, HIDDEN = 40, 20, 8
 #: Known words, buckets of trigrams, and the width of their vectors.
 WORDS, TRIGRAMS, DIM = 4000, 2048, 8
 STEPS, BATCH, RATE, SEED = 180, 128, 0.02, 11
 #: Steps after which the windows are chosen anew; share of known words read by their characters alone in a step.
 RECHOOSE, DROP = 60, 0.35
+#: Largest share of a toxic window's words that give way to words of other texts in a step.
+MIX = 0.6
 #: Windows run at once; words a task remembers.
 AT_ONCE, REMEMBER = 1024, 300_000
 find_words = re.compile(r"[^\W\d_]+").findall
@@ -89,7 +100,7 @@ class Model:
             "u": init(2, h, 3 * h), "wa": init(2 * h, h), "va": init(h), "wo": init(2 * h), "bo": np.zeros(1, F32),
         }
         self.p["words"][2:, 0] += odds.astype(F32)
-        self.scale, self.shift = 1.0, 0.0
+        self.shift = 0.0
 
     def inputs(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """Input vectors of words; the empty word is padding."""
@@ -246,87 +257,175 @@ class Scorer:
 # -- learning --------------------------------------------------------------------------
 
 
-def unlike(texts: list[str]) -> list[int]:
-    """Indices of texts that are not near copies of an earlier one, by two least hashes."""
+def learning_words(text: str | None) -> list[str]:
+    return [w[:LETTERS] for w in find_words((text or "").lower())]
+
+
+def signs(words: list[str]) -> tuple[int, int]:
+    """Two least hashes of the 4-grams of a text."""
+    grams = np.array([zlib.crc32(" ".join(words[j : j + 4]).encode("utf-8", "surrogatepass")) for j in range(max(1, len(words) - 3))], np.uint64)
+    return int(grams.min()), int((grams * np.uint64(2_654_435_761) % np.uint64(1 << 32)).min())
+
+
+def sampled(docs: DataFrame, labels: DataFrame, mod: int, held: int, sample: int) -> DataFrame:
+    """(doc_id, y, h, text): at most ``sample`` labelled documents of either class, written to the checkpoint folder."""
+    known = labelled(labels, "toxic").where(id_hash_mod("doc_id", mod) != held).withColumn("h", F.xxhash64("doc_id"))
+    part = None
+    for c in (0, 1):  # at most 2 x sample ids
+        own = known.where(F.col("y") == c).orderBy("h", "doc_id").limit(sample)
+        part = own if part is None else part.unionByName(own)
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return cut(few.join(F.broadcast(part), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")))
+
+
+def unlike(few: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, y) of the documents less copies with the same label; at most the sample's size."""
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            yield to_batch(schema, [(i, y, h, *signs(learning_words(t))) for i, y, h, t in zip(*columns_of(batch, "doc_id", "y", "h", "text"), strict=True)])
+
     seen, out = set(), []
-    for i, t in enumerate(texts):
-        w = find_words(t.lower())
-        grams = {zlib.crc32(" ".join(w[j : j + 4]).encode()) for j in range(0, max(1, len(w) - 3))}
-        a, b = min(grams), min(g * 2_654_435_761 % (1 << 32) for g in grams)
-        if (a, 0) in seen or (b, 1) in seen:
-            continue
-        seen |= {(a, 0), (b, 1)}
-        out.append(i)
+    for r in sorted(few.mapInArrow(run, "doc_id long, y int, h long, a long, b long").collect(), key=lambda r: (r.h, r.doc_id)):
+        own = {(r.y, 0, r.a), (r.y, 1, r.b)}
+        if not own & seen:
+            out.append((r.doc_id, r.y))
+            seen |= own
     return out
 
 
-def fit(texts: list[str], y: list[int]) -> Model | None:
-    """A model of the documents' labels; None if they are of one class."""
-    own = unlike(texts)
-    texts, labels = [texts[i] for i in own], np.array([y[i] for i in own], bool)
-    if not labels.any() or labels.all():
-        return None
-    rng = np.random.default_rng(SEED)
-    docs = [find_words(t.lower()) for t in texts]
-    seen = [Counter(w for d, t in zip(docs, labels, strict=True) if t == c for w in set(d)) for c in (False, True)]
-    n0, n1 = (~labels).sum(), labels.sum()
-    odds, bound = {}, {}
-    for w in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b > 2:
-            odds[w] = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-            bound[w] = odds[w] / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-    vocabulary = sorted(odds, key=lambda w: (-abs(bound[w]), w))[:WORDS]
-    weight = np.array([np.clip(bound[w] / 8, -1, 1) for w in vocabulary])
-    model = Model(vocabulary, weight)
-
-    kinds = {"": 0} | {w: i + 1 for i, w in enumerate(sorted(set().union(*docs)))}
+def bound_words(few: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """The ``WORDS`` words in more than two documents whose log-odds are the most standard errors from none, with that number."""
+    schema = pa.schema([("word", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def run(batches):
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def rows():
+            out = [(w, seen[0][w], seen[1][w]) for w in seen[0].keys() | seen[1].keys()]
+            for c in seen:
+                c.clear()
+            return to_batch(schema, out)
+
+        for batch in batches:
+            for y, text in zip(*columns_of(batch, "y", "text"), strict=True):
+                seen[y].update({w for w in learning_words(text) if len(w) < LETTERS})
+                if len(seen[0]) + len(seen[1]) > REMEMBER:
+                    yield rows()
+        yield rows()
+
+    found = few.mapInArrow(run, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("b"), F.sum("n1").alias("a")).where("a + b > 2")
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    c, d = F.lit(float(n1)) - F.col("a") + 0.5, F.lit(float(n0)) - F.col("b") + 0.5
+    z = (F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return {r.word: r.z for r in found.select("word", z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(WORDS).collect()}
+
+
+def picked_windows(few: DataFrame, bound: dict[str, float], least: float) -> list[tuple[int, int, list[list[str]]]]:
+    """(doc_id, y, windows) of each document, in the order of ids: the strongest windows, then some by chance."""
+    strong = few.sparkSession.sparkContext.broadcast({w: v - least for w, v in bound.items() if v > least})
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.string()))])
+
+    def run(batches):
+        get = strong.value.get
+        for batch in batches:
+            rows = []
+            for doc_id, y, text in zip(*columns_of(batch, "doc_id", "y", "text"), strict=True):
+                words = learning_words(text)
+                starts = window_starts(len(words))
+                sums = np.concatenate([[0.0], np.cumsum([get(w, 0.0) for w in words])])
+                worth = sums[np.minimum(starts + WINDOW, len(words))] - sums[starts]
+                top = np.argsort(-worth, kind="stable")[:TOP]
+                rest = np.setdiff1d(np.arange(len(starts)), top)
+                by_chance = np.random.default_rng([SEED, doc_id & (2**63 - 1)]).permutation(rest)[:CHANCE]
+                rows.append((doc_id, y, [" ".join(words[i : i + WINDOW]) for i in starts[np.concatenate([top, by_chance])]]))
+            yield to_batch(schema, rows)
+
+    got = few.mapInArrow(run, "doc_id long, y int, windows array<string>").collect()
+    return [(r.doc_id, r.y, [w.split() for w in r.windows]) for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def hard_windows(few: DataFrame, model: Model) -> dict[int, list[list[str]]]:
+    """The highest windows of each document, by the network, by doc_id."""
+    sent = few.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("windows", pa.list_(pa.string()))])
+
+    def run(batches):
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(*columns_of(batch, "doc_id", "text"), strict=True):
+                words = learning_words(text)
+                if len(scorer.rows) > REMEMBER:
+                    scorer.clear()
+                top = np.argsort(-scorer.logits(windows_of(scorer.rows_of(text))), kind="stable")[:HARD]
+                rows.append((doc_id, [" ".join(words[i : i + WINDOW]) for i in window_starts(len(words))[top]]))
+            yield to_batch(schema, rows)
+
+    return {r.doc_id: [w.split() for w in r.windows] for r in few.mapInArrow(run, "doc_id long, windows array<string>").collect()}
+
+
+def new_model(bound: dict[str, float], start: bool = True) -> Model:
+    return Model(list(bound), np.array([np.clip(v / 8, -1, 1) if start else 0.0 for v in bound.values()]))
+
+
+def fit(model: Model, moments: dict, chosen: list[tuple[int, list[list[str]]]], bound: dict[str, float], least: float, steps: range) -> None:
+    """Steps of learning on documents' labels and windows; step 0 chooses by the bound words, later ones by the network."""
+    labels = np.array([y for y, _ in chosen], bool)
+    rng = np.random.default_rng([SEED, steps.start])
+    kinds = {"": 0} | {w: i + 1 for i, w in enumerate(sorted({w for _, ws in chosen for x in ws for w in x}))}
     names = list(kinds)
     known = np.array([model.vocabulary.get(w, 1) if w else 0 for w in names])
-    strength = np.zeros(len(names))
-    for w, v in bound.items():
-        strength[kinds[w]] = max(0.0, v - 3)
-    all_windows = [windows_of(np.array([kinds[w] for w in d], np.int64)) for d in docs]
+    strength = np.array([max(0.0, bound.get(w, 0.0) - least) for w in names])
+    all_windows = [np.array([[kinds[w] for w in x] + [0] * (WINDOW - len(x)) for x in ws], np.int64) for _, ws in chosen]
     first = [strength[w].sum(axis=1) for w in all_windows]
 
-    def choose(score: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The highest window of each toxic text above ``least``; not toxic are the highest window of other
-        texts, one by chance, and the lowest of a toxic text, lest its other words stand for the label."""
-        rows, marks = [np.zeros((4, WINDOW), np.int64)], [np.zeros(4)]
-        for w, s, t in zip(all_windows, score, labels, strict=True):
-            top, low = int(s.argmax()), int(s.argmin())
-            if t and s[top] > least:
-                rows.append(w[[top]] if s[low] > least else w[[top, low]])
-                marks.append(np.array([1.0, 0.0])[: len(rows[-1])])
-            elif not t:
-                rows.append(w[[top, int(rng.integers(len(w)))]])
-                marks.append(np.zeros(2))
-        return np.concatenate(rows), np.concatenate(marks)
-
-    moments: dict = {}
-    x, t = choose(first, 0.0)
-    if not t.any():
-        x, t = choose(first, -1.0)
-    for k in range(STEPS):
-        if k and k % RECHOOSE == 0:
-            x, t = choose(document_logits(model, names, known, all_windows), -1.0)
-        half = [rng.choice(np.flatnonzero(t == c), BATCH // 2) if (t == c).any() else np.zeros(0, int) for c in (0, 1)]
-        pick = np.concatenate(half)
-        used, inverse = np.unique(x[pick], return_inverse=True)
+    def choose(score: list[np.ndarray], least: float, near: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """Toxic are, of each toxic text whose highest window is above ``least``, that and those with bound words at most ``near`` below it. Not toxic are
+        the highest window of other texts, one by chance, and the lowest of a toxic text that has no bound word, lest its other words stand for the label."""
+        toxic, clean = [], [np.zeros((4, WINDOW), np.int64)]
+        for w, s, f, t in zip(all_windows, score, first, labels, strict=True):
+            if not t:
+                clean.append(w[[int(s.argmax()), int(rng.integers(len(w)))]])
+            elif s.max() > least:
+                close = (s >= s.max() - near) & (f > 0)
+                close[int(s.argmax())] = True
+                toxic.append(w[close])
+                low = int(s.argmin())
+                if s[low] <= least and not f[low]:
+                    clean.append(w[[low]])
+        return toxic, np.concatenate(clean)
+
+    def choose_by_network() -> tuple[list[np.ndarray], np.ndarray]:
+        return choose(document_logits(model, names, known, all_windows), -1.0, 3.0)
+
+    def batch() -> np.ndarray:
+        """Half toxic windows, of documents and then of their windows by chance, half others; some words without a bond to the
+        label give way to words of other texts, lest a few windows be learned by heart."""
+        no = clean[rng.integers(len(clean), size=BATCH // 2)]
+        if not toxic:
+            return no
+        yes = np.stack([toxic[i][rng.integers(len(toxic[i]))] for i in rng.integers(len(toxic), size=BATCH // 2)])
+        mixed = (rng.random(yes.shape) < MIX * rng.random((len(yes), 1))) & weak[yes] & (yes > 0)
+        other = pool[rng.integers(len(pool), size=yes.shape)]
+        return np.concatenate([no, np.where(mixed, other, yes)])
+
+    weak = np.array([bound.get(w, 0.0) < 1 for w in names])
+    pool = np.concatenate([w[w > 0] for w, t in zip(all_windows, labels, strict=True) if not t] + [np.zeros(1, np.int64)])
+    toxic, clean = choose(first, 0.0, 1.0)
+    if not toxic:
+        toxic, clean = choose(first, -1.0, 1.0)
+    for k in steps:
+        if k and (k % RECHOOSE == 0 or k == steps.start):
+            toxic, clean = choose_by_network()
+        x = batch()
+        used, inverse = np.unique(x, return_inverse=True)
         if used[0] != 0:
             used, inverse = np.concatenate([[0], used]), inverse + 1
         # row 0 is padding, as everywhere
         ids = np.where((rng.random(len(used)) < DROP) & (known[used] > 1), 1, known[used])
-        model.step([names[i] for i in used], ids, inverse.reshape(len(pick), WINDOW), t[pick].astype(F32), moments, k)
-    top = np.array([s.max() for s in document_logits(model, names, known, all_windows)])
-    order = np.argsort(top)
-    # of the cuts that get most documents right, or all but a few of those, the one in the widest gap
-    right = np.concatenate([[0], np.cumsum(np.where(labels[order], -1, 1))])
-    near = np.flatnonzero(right >= right.max() - max(1, len(top) // 400))
-    ends = np.concatenate([[top.min() - 1], top[order], [top.max() + 1]])
-    k = int(near[np.argmax(ends[near + 1] - ends[near])])
-    model.shift = float((ends[k] + ends[k + 1]) / 2)
-    return model
+        model.step([names[i] for i in used], ids, inverse.reshape(x.shape), (np.arange(len(x)) >= BATCH // 2).astype(F32), moments, k)
 
 
 def document_logits(model: Model, names: list[str], known: np.ndarray, all_windows: list[np.ndarray]) -> list[np.ndarray]:
@@ -336,19 +435,49 @@ def document_logits(model: Model, names: list[str], known: np.ndarray, all_windo
     return np.split(out, np.cumsum([len(w) for w in all_windows])[:-1])
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, sample: int = SAMPLE) -> tuple[Model | None, float]:
-    """The model, and the rate of label 1 in the sample where there is none."""
-    known = labelled(labels, "toxic").where(id_hash_mod("doc_id", mod) != held).withColumn("h", F.xxhash64("doc_id"))
-    part = None
-    for c in (0, 1):  # at most 2 x sample ids, then their texts
-        own = known.where(F.col("y") == c).orderBy("h", "doc_id").limit(sample)
-        part = own if part is None else part.unionByName(own)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    few = few.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(part), "doc_id")
-    rows = few.orderBy("h", "doc_id", "text").limit(4 * sample).collect()
-    if not rows:
-        return None, 0.0
-    return fit([r["text"] or "" for r in rows], [r["y"] for r in rows]), float(np.mean([r["y"] for r in rows]))
+def highest(few: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and highest logits of the sampled documents, over all their windows."""
+    sent = few.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            y, texts = columns_of(batch, "y", "text")
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(scorer.documents(texts))], names=["y", "top"])
+
+    rows = few.mapInArrow(run, "y int, top double").collect()
+    return np.array([r.y for r in rows], bool), np.array([r.top for r in rows])
+
+
+def middle(labels: np.ndarray, top: np.ndarray) -> float:
+    """Of the cuts that get most documents right, both classes weighing the same, or all but a 400th of that, the one in the widest gap."""
+    order = np.lexsort((labels, top))
+    own = labels[order]
+    right = np.concatenate([[0], np.cumsum(np.where(own, -1 / max(1, own.sum()), 1 / max(1, (~own).sum())))])
+    near = np.flatnonzero(right >= right.max() - 1 / 400)
+    ends = np.concatenate([[top.min() - 1], top[order], [top.max() + 1]])
+    k = int(near[np.argmax(ends[near + 1] - ends[near])])
+    return float((ends[k] + ends[k + 1]) / 2)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, sample: int = SAMPLE, steps: int = STEPS, start: bool = True) -> tuple[Model | None, float]:
+    """The model, and the rate of label 1 in the sample, which stands for a model where one class is missing."""
+    bounded_batches(docs.sparkSession, 50)
+    few = sampled(docs, labels, mod, held, sample)
+    own = unlike(few)
+    n1 = sum(y for _, y in own)
+    if not 0 < n1 < len(own):
+        return None, float(n1 > 0)
+    few = few.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i, _ in own], "doc_id long")), "doc_id")
+    bound = bound_words(few, len(own) - n1, n1)
+    least = min(3.0, 0.75 * max(bound.values(), default=0.0))
+    model, moments, picked = new_model(bound, start), {}, picked_windows(few, bound, least)
+    fit(model, moments, [(y, w) for _, y, w in picked], bound, least, range(0, min(MINE, steps)))
+    if steps > MINE:
+        more = hard_windows(few, model)
+        fit(model, moments, [(y, w + [x for x in more.get(i, []) if x not in w]) for i, y, w in picked], bound, least, range(MINE, steps))
+    model.shift = middle(*highest(few, model))
+    return model, n1 / len(own)
 
 
 def probabilities(scorer: Scorer, texts: list[str | None]) -> np.ndarray:

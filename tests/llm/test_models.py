@@ -3,11 +3,13 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from korpuscle.llm import rff, rules, textstats, toxicity
+from korpuscle.llm.common import id_hash_mod
 
 from .helpers import EXTRA, awkward, empty, pairs
 
@@ -41,10 +43,12 @@ def none(spark):
     return spark.createDataFrame([], NO_LABELS)
 
 
-def test_folds():
-    from korpuscle.llm.common import id_hash_mod  # noqa: F401
-
-    assert zlib.crc32(b"12") % 5 in range(5)
+def test_folds(spark):
+    ids = [0, 1, 12, 999, -5, 2**40, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for mod in (4, 5):
+        got = {r.doc_id: r.m for r in df.select("doc_id", id_hash_mod("doc_id", mod).alias("m")).collect()}
+        assert got == {i: None if i is None else zlib.crc32(str(i).encode()) % mod for i in ids}
 
 
 def test_toxicity(spark, made):
@@ -69,6 +73,80 @@ def test_toxicity_awkward(spark, made):
     assert out.count() == both.count() and out.where("score is null").count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    """Documents of 125,000 characters, half of them with one telling word, are learned from and told apart."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("ba ne ti ro lu sa mi ko de fa".split(), k=rnd.randint(1, 4))) for _ in range(3000)]
+    rows = []
+    for i in range(40):
+        words = rnd.choices(vocabulary, k=21_000)
+        if i % 2:
+            words[rnd.randrange(len(words))] = "vexogu"
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(8)
+    assert min(len(t) for _, t, _ in rows) > 100_000
+    out = toxicity.toxicity_scores(df, spark.createDataFrame([(i, 0, y) for i, _, y in rows], NO_LABELS)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in out) == 40
+
+
+def test_toxicity_copies_and_repeated_ids(spark):
+    """A class of copies alone stays a class; rows that share an id are learned from once."""
+    rows = [(i, "vexogu is a bad word to say here", 1) for i in range(30)] + [(100 + i, f"word{i} is a good thing to say here", 0) for i in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "zzz")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], NO_LABELS)
+    model, rate = toxicity.fit_documents(df, labels)
+    assert model is not None and 0 < rate < 1
+    few = toxicity.sampled(df, labels, 5, 0, 10)
+    assert Counter(r.y for r in few.collect()) == {0: 10, 1: 10} and few.select("doc_id").distinct().count() == 20
+    assert sum(y for _, y in toxicity.unlike(few)) == 1
+    one = toxicity.toxicity_scores(df, labels.where("toxic = 1")).collect()
+    assert {(r.score, r.predicted) for r in one} == {(1.0, 1)}
+
+
+def slow_score(model, text):
+    """The highest window, word by word and number by number."""
+    p, h = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+    hard = lambda x: min(max(0.25 * x + 0.5, 0.0), 1.0)
+
+    def vector(word):
+        own = f"<{word}>"
+        buckets = [((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) >> 9) % toxicity.TRIGRAMS for a, b, c in zip(own, own[1:], own[2:], strict=False)] if word else []
+        chars = sum(p["tri"][k] for k in buckets) / len(buckets) if buckets else np.zeros(toxicity.DIM)
+        return np.concatenate([p["words"][model.vocabulary.get(word, 1) if word else 0], chars])
+
+    def read(vectors, d):
+        state, out = np.zeros(h), []
+        for x in vectors:
+            g, m = x @ p["wx"][d] + p["b"][d, 0], state @ p["u"][d]
+            z, r = [np.array([hard(v) for v in (g + m)[k * h : (k + 1) * h]]) for k in (0, 1)]
+            c = np.tanh(g[2 * h :] + r * m[2 * h :])
+            state = (1 - z) * c + z * state
+            out.append(state)
+        return out
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    step = toxicity.STRIDE
+    starts = [0] if len(words) <= toxicity.WINDOW else [*range(0, len(words) - toxicity.WINDOW, step), len(words) - toxicity.WINDOW]
+    best = -np.inf
+    for s in starts:
+        window = words[s : s + toxicity.WINDOW]
+        window = window + [""] * (toxicity.WINDOW - len(window))
+        vectors = [vector(w) for w in window]
+        both = [np.concatenate(x) for x in zip(read(vectors, 0), read(vectors[::-1], 1)[::-1], strict=True)]
+        e = np.array([np.tanh(b @ p["wa"]) @ p["va"] if w else -1e4 for b, w in zip(both, window, strict=True)])
+        w = np.exp(e - e.max())
+        best = max(best, float((w / w.sum()) @ np.array(both) @ p["wo"] + p["bo"][0]))
+    return best
+
+
+def test_scorer_is_the_slow_one():
+    rnd = random.Random(4)
+    model = toxicity.Model(["ba", "nero", "ti"], np.array([0.4, -0.2, 0.9]))
+    texts = [None, "", "x", "ba nero", "ÄÖ ß 中文 😀 İΣ x1y_z"] + [" ".join(rnd.choices(["ba", "nero", "ti", "luba", "é", "Zz"], k=k)) for k in (39, 40, 41, 60, 61, 230)]
+    got = toxicity.Scorer(model).documents(texts)
+    assert got == pytest.approx([slow_score(model, t) for t in texts], abs=2e-5)
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 39, 40, 41, 59, 60, 61, 200, 1234):
         s = toxicity.window_starts(n)
