@@ -17,12 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the checkpoint folder that the cluster names and cut its lineage.
 
     The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none, as in tests on one machine.
+    session names none and runs on one machine, as in tests.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="korpuscle-checkpoint-"))
     return df.checkpoint(eager=True)
 

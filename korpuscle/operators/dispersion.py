@@ -103,6 +103,10 @@ def trend(docs: DataFrame, hits: DataFrame, field: str, granularity: str = "year
 # -- lexical diversity -----------------------------------------------------------------
 
 
+#: Windows in a stretch of mattr().
+STRETCH = 16
+
+
 def word_stream(corpus: Corpus, by: str | None = None) -> DataFrame:
     """Word tokens with their place i in the joined stream (of each side, with ``by``).
 
@@ -137,8 +141,14 @@ def mattr(corpus: Corpus, window: int = 500) -> DataFrame:
     """
     stream = word_stream(corpus)
     n = stream.agg(F.count("*").alias("n"))
-    last = F.coalesce(F.lag("i").over(Window.partitionBy("word").orderBy("i")), F.lit(-1))
-    rows = stream.withColumn("prev", last).crossJoin(F.broadcast(n))
+    # Only a place less than a window before matters, so places are parted in stretches, of which each also
+    # gets the last window of the one before; no word, however common, meets in one task.
+    size = STRETCH * window
+    own = F.floor(F.col("i") / size)
+    parts = F.when(F.col("i") % size >= size - window, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = stream.select("word", "i", F.explode(parts).alias("part"))
+    last = F.coalesce(F.lag("i").over(Window.partitionBy("word", "part").orderBy("i")), F.lit(-1))
+    rows = dealt.withColumn("prev", last).where(F.col("part") == own).crossJoin(F.broadcast(n))
     first_start = F.greatest(F.col("prev") + 1, F.col("i") - (window - 1), F.lit(0))
     held = F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - window) - first_start + 1)
     out = rows.agg(F.sum(held).alias("s"), F.max("n").alias("n"))

@@ -14,6 +14,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.corpus import Corpus, unit
 from . import plain
@@ -170,7 +171,7 @@ def fixed(corpus: Corpus, seq: tuple[Clause, ...], scope: str, offset: int, over
     return kept.select("doc_id", *_hit(F.col("tok_idx"), n, offset))
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("sent_id", pa.int32()), ("start_idx", pa.int32()), ("end_idx", pa.int32()), ("node_idx", pa.int32())])
+_PLACES = ("sent_id", "start_idx", "end_idx", "node_idx")
 
 
 def general(corpus: Corpus, q, scope: str, offset: int, overlapping: bool) -> DataFrame:
@@ -184,6 +185,8 @@ def general(corpus: Corpus, q, scope: str, offset: int, overlapping: bool) -> Da
     segments = marked.groupBy(*keys).agg(F.bit_or("mask").alias("any"), F.array_sort(F.collect_list(F.struct("tok_idx", "mask", "sent_id"))).alias("toks"))
     for k in must:  # a segment without a needed clause has no match
         segments = segments.where(F.col("any").bitwiseAND(1 << k) != 0)
+    ident = corpus.tokens.schema["doc_id"].dataType  # numbers or strings
+    schema = pa.schema([("doc_id", to_arrow_type(ident)), *[(c, pa.int32()) for c in _PLACES]])
     arrays = segments.select("doc_id", F.col("toks.mask").alias("mask"), F.col("toks.tok_idx").alias("idx"), F.col("toks.sent_id").alias("sent"))
 
     def run(batches):
@@ -192,9 +195,9 @@ def general(corpus: Corpus, q, scope: str, offset: int, overlapping: bool) -> Da
             for doc, masks, idx, sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows += [(doc, sent[s], idx[s], idx[e - 1] + 1, idx[s] + offset) for s, e in automaton.matches(masks, overlapping)]
             cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _HITS, strict=True)], schema=_HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return arrays.mapInArrow(run, "doc_id long, sent_id int, start_idx int, end_idx int, node_idx int")
+    return arrays.mapInArrow(run, f"doc_id {ident.simpleString()}, " + ", ".join(f"{c} int" for c in _PLACES))
 
 
 def hits(corpus: Corpus, query: str, case_sensitive: bool = False, overlapping: bool = False) -> DataFrame:

@@ -63,12 +63,15 @@ def _finish(df: DataFrame, text: str, id_col: str | None, meta: list[str] | None
     return _split(df, F.when(body == "", F.lit("empty_text_column")), keep)
 
 
-def read_csv(spark: SparkSession, path: str, text: str = "text", id_col: str | None = "id", sep: str | None = None, meta: list[str] | None = None) -> Imported:
-    """A table file with a header; the delimiter is found in its head, a byte order mark is dropped."""
+def read_csv(spark: SparkSession, path: str, text: str = "text", id_col: str | None = "id", sep: str | None = None, meta: list[str] | None = None, multi_line: bool = True) -> Imported:
+    """A table file with a header; the delimiter is found in its head, a byte order mark is dropped.
+
+    Quoted fields may run over lines, which makes a file one task; ``multi_line=False`` splits large files.
+    """
     if sep is None:
         head = spark.read.text(path).limit(20).collect()
         sep = sniff_delimiter("\n".join(r[0] or "" for r in head)[:SNIFF])
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
     return _finish(df.toDF(*[c.lstrip("﻿") for c in df.columns]), text, id_col, meta)
 
 

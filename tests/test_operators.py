@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from korpuscle.functions import numeric
 from korpuscle.functions.text import formula_guard, mask_pii
-from korpuscle.operators import collocation, counting, deps, kwic, pairs, ranking, scopes, vectors
+from korpuscle.operators import collocation, counting, deps, dispersion, kwic, pairs, ranking, running, scopes, vectors
 from korpuscle.operators.corpus import Corpus
-from korpuscle.plans import plain
+from korpuscle.plans import matching, plain
+from korpuscle.sources import readers
 
 
 def test_beta_quantile():
@@ -233,3 +234,42 @@ def test_benjamini_hochberg(spark):
     q = np.minimum(1, np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
     for k, i in enumerate(order):
         assert got[f"w{i}"] == (pytest.approx(q[k], rel=1e-12, abs=1e-300), len(p))
+
+
+def test_string_ids_from_import_to_analysis(spark, tmp_path):
+    """Ids as strings and as numbers in the same order give the same figures."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.choices("the cat sat on a mat and ran off .".split(), k=rnd.randint(5, 90)))) for k in range(60)]
+    path = tmp_path / "docs.csv"
+    path.write_text("id,text\n" + "".join(f"doc-{k:03d},{t}\n" for k, t in rows))
+    named = Corpus.from_documents(readers.read_csv(spark, str(path)).rows, id_col="id", meta=[])
+    plain = Corpus.from_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def places(c):
+        return sorted((int(str(r.doc_id).removeprefix("doc-")), r.start_idx, r.end_idx) for r in matching.hits(c, '[word="the"] []{0,3} [word="sat"]').collect())
+
+    assert places(named) == places(plain) and len(places(plain)) > 3
+    for f in (lambda c: dispersion.sttr(c, 100), lambda c: dispersion.mattr(c, 50), lambda c: dispersion.mattr(c, 7)):
+        assert f(named).collect() == f(plain).collect()
+    lines = [kwic.lines(c, matching.hits(c, '[word="the"]')) for c in (named, plain)]
+    a, b = ([(r.left, r.node, r.right) for r in kwic.sample_indices(x, 9, 3).collect()] for x in lines)
+    assert a == b and len(a) == 9
+
+
+def test_running_start_of_strings(spark, monkeypatch):
+    monkeypatch.setattr(running, "BUCKETS", 4)
+    rows = [(f"é{k}" if k % 3 else f"Z{k}", k) for k in range(500)]
+    out = running.running_start(spark.createDataFrame(rows, "doc_id string, n long"), "n", "before").collect()
+    total, want = 0, {}
+    for i, n in sorted(rows, key=lambda r: r[0].encode()):
+        want[i], total = total, total + n
+    assert {r.doc_id: r.before for r in out} == want
+
+
+def test_mattr_by_hand(spark):
+    rnd = random.Random(6)
+    words = rnd.choices(["a", "b", "c", "dd", "ee"], weights=[20, 5, 3, 1, 1], k=400)
+    c = Corpus.from_documents(spark.createDataFrame([(k, " ".join(words[40 * k : 40 * k + 40])) for k in range(10)], "doc_id long, text string"))
+    for w in (1, 2, 7, 60, 400):
+        want = sum(len(set(words[i : i + w])) / w for i in range(400 - w + 1)) / (400 - w + 1)
+        assert dispersion.mattr(c, w).first()[0] == pytest.approx(want)
