@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(table(spark, sf_dir, "pages"), keep_records=False).drop("record")
+    return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ the same records.
 Defined cases: null or empty html is a response with an empty body, whose text is empty; a
 null url is left out of the headers; chunks, gzip and deflate are undone before the text is taken, and a body that is not in the encoding its headers
 name, as crawlers leave it, is taken as it is; a body in another encoding has metadata that names it, without title and links, and no conversion; records of other types derive nothing; a record that
-breaks off is an error that names its place; repeated rows give equal records; an empty table gives no rows; other columns are ignored.
+breaks off is an error that names its place; of a response without an id no record refers to it; a very long body is one record, as in its source; repeated rows give equal records; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, columns_of, to_batch
@@ -161,6 +161,8 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
     except LookupError:
         html = (data or b"").decode("utf-8", "replace")
     source = get(headers, "WARC-Record-ID") or ""
+    # a response without an id is told from others by what it is
+    key = source or record_id("source", get(headers, "WARC-Target-URI") or "", get(headers, "WARC-Date") or "", sha1(block))
     title = _TITLE.search(html)
     links = [unescape(next(x for x in m if x is not None)) for m in (g.groups() for g in _HREF.finditer(html)) if any(x is not None for x in m)]
     envelope = {
@@ -174,9 +176,10 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, list
         blocks["conversion"] = "".join(b.text + "\n" for b in blocks_of(html)).encode("utf-8", "surrogatepass")
     out = []
     for kind, data in blocks.items():
-        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Date", get(headers, "WARC-Date") or DATE)]
+        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, key)), ("WARC-Date", get(headers, "WARC-Date") or DATE)]
         own += [("WARC-Target-URI", u)] if (u := get(headers, "WARC-Target-URI")) else []
-        own += [("WARC-Refers-To", source), ("Content-Type", "application/json" if kind == "metadata" else "text/plain"), ("WARC-Block-Digest", sha1(data))]
+        own += [("WARC-Refers-To", source)] if source else []
+        own += [("Content-Type", "application/json" if kind == "metadata" else "text/plain"), ("WARC-Block-Digest", sha1(data))]
         out.append((kind, own, data))
     return out
 
@@ -206,15 +209,49 @@ def derivatives(pages: DataFrame, keep_records: bool = True, date: str = DATE) -
     return cols.mapInArrow(run, "page_id long, url string, kind string, record_id string, refers_to string, block_digest string, length long, record binary")
 
 
+_DERIVED = pa.schema([("path", pa.string()), ("kind", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("record", pa.binary())])
+_DERIVED_DDL = "path string, kind string, record_id string, refers_to string, record binary"
+
+
+def _derived(path: str, head: list[tuple[str, str]], block: bytes) -> list[tuple]:
+    return [(path, kind, get(own, "WARC-Record-ID"), get(own, "WARC-Refers-To"), write_record(own, data)) for kind, own, data in derive(head, block)]
+
+
 def derive_files(files: DataFrame) -> DataFrame:
-    """(path, kind, record_id, refers_to, record) derived from whole WARC files (path, content)."""
-    schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("record", pa.binary())])
+    """(path, kind, record_id, refers_to, record) derived from whole WARC files (path, content), of one or more gzip members or plain.
+
+    A file is a cell here, so at most 2 GB; ``derive_warc`` reads larger ones.
+    """
     bounded_batches(files.sparkSession, 1)
 
     def run(batches):
         for batch in batches:
             for path, content in zip(*columns_of(batch, "path", "content"), strict=True):
-                for head, block in read_records(content):
-                    yield to_batch(schema, [(path, kind, get(own, "WARC-Record-ID"), get(own, "WARC-Refers-To"), write_record(own, data)) for kind, own, data in derive(head, block)])
+                for head, block in read_records(_inflated(content, "gzip") if content[:2] == b"\x1f\x8b" else content):
+                    yield to_batch(_DERIVED, _derived(path, head, block))
+
+    return files.select("path", "content").mapInArrow(run, _DERIVED_DDL)
 
-    return files.select("path", "content").mapInArrow(run, "path string, kind string, record_id string, refers_to string, record binary")
+
+def derive_warc(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
+    """(path, kind, record_id, refers_to, record) derived from WARC files of any size, read record by record.
+
+    Spark's text reader parts the files where a record ends and the next begins, splits plain files over tasks and unpacks
+    ``.gz`` ones. A record whose block holds that mark itself, or that breaks off, is an error; ``derive_files`` reads the former.
+    """
+    start = f"WARC/{version}\r\n"
+    lines = spark.read.option("lineSep", "\r\n\r\n" + start).text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content"))
+    bounded_batches(spark, 50)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(*columns_of(batch, "path", "content"), strict=True):
+                content = content.removeprefix(start.encode())
+                if content.strip():
+                    ((head, block),) = read_records(start.encode() + content)
+                    rows += _derived(name, head, block)
+            yield to_batch(_DERIVED, rows)
+
+    return rows.mapInArrow(run, _DERIVED_DDL)
