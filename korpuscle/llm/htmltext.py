@@ -1,13 +1,17 @@
 """HTML extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
-A page is read into leaf blocks, runs of text between block-level tags, each with the tags, classes and
-ids of its ancestors. Features of a block (its tag, ancestors, words in class and id names, length,
-share of linked text, punctuation) score the labels "main" and "other"; transition weights tie neighbours together.
-The weights are trained on labelled pages (``labelled_pages``: layouts of many kinds with
-the label of every block) by gradient ascent on the likelihood, and Viterbi finds the best labels of a page.
+A page is read into leaf blocks, runs of text between block-level tags, each with its element, which knows what
+all its ancestors tell (their tags, and the kinds of words in their class and id names). Features of a block (its tag, ancestors, kinds, length,
+share of linked text, punctuation, the same of its neighbours, and the density of the element around it) score the labels "main" and "other"; transition weights tie neighbours together.
+The weights are trained on labelled pages (``labelled_pages``: layouts of many kinds, two in five of them without
+telling names, with the label of every block) by gradient ascent on the likelihood, and Viterbi finds the best labels of a page.
+
+Time and memory are in proportion to the length of a page, whatever its tags: nothing is searched for twice that
+is not there, and an element holds no copy of its ancestors.
 
 Defined cases: a null or empty page, or one without main blocks, gives the empty string;
-tags never closed, or closed twice, and pages that break off are read as far as they go;
+tags never closed, or closed twice, are read as far as they go; a tag that another one starts in, or that the page breaks off in, is text; very long
+and very deep pages are read whole; of equally likely labels a block is "other";
 repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 from html import unescape
 
@@ -33,119 +38,229 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|[^<]+|<", re.S)
+_STOPS_P = CLOSES_P - {"p"}
+
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_TAG = re.compile(r"</?[a-zA-Z][^\s/><]*")
+_BREAK = re.compile("[<>\"']")
 
+#: Words in class and id names, by what they tell.
+MARKS = {
+    "main": "article content post entry story body main text prose page",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
+    "advert": "ad ads advert advertisement adsense banner promo promotion sponsor sponsored",
+    "notice": "cookie cookies consent notice alert gdpr popup modal overlay privacy disclaimer",
+    "edge": "header footer masthead topbar bottom copyright colophon legal",
+    "side": "sidebar side aside widget related recommended recommendations popular trending more teaser",
+    "talk": "comment comments reply replies disqus discussion respond reviews",
+    "form": "form search login signup subscribe newsletter share social sharing",
+}
+_KIND = {w: k for k, ws in MARKS.items() for w in ws.split()}
+_AREAS = frozenset("article main section nav header footer aside form table ul ol dl blockquote figure pre button dialog menu fieldset address details".split())
 
-class Block:
-    __slots__ = ("linked", "marks", "path", "tag", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...], marks: frozenset[str]):
-        self.text, self.linked, self.path, self.marks = text, linked, path, marks
-        self.tag = path[-1] if path else ""
+class Element:
+    """An open tag: what it and its ancestors tell, and the text of the blocks right in it or in its children."""
 
+    __slots__ = ("areas", "chars", "kinds", "linked", "parent", "points", "tag")
 
-@lru_cache(maxsize=10_000)
-def name_words(attributes: str) -> frozenset[str]:
-    return frozenset(w for v in _NAMES.findall(attributes) for w in _WORD.findall(v.lower()))
+    def __init__(self, tag: str, attributes: str, parent: Element | None):
+        self.tag, self.parent = tag, parent
+        self.areas: frozenset[str] = parent.areas if parent else frozenset()
+        self.kinds: frozenset[str] = parent.kinds if parent else frozenset()
+        if tag in _AREAS and tag not in self.areas:
+            self.areas |= {tag}
+        if attributes and not (own := kinds_of(attributes) if len(attributes) < 500 else kinds_in(attributes)) <= self.kinds:
+            self.kinds |= own
+        self.chars = self.linked = self.points = 0
+
+
+class Block:
+    __slots__ = ("element", "linked", "points", "text")
+
+    def __init__(self, text: str, linked: int, element: Element):
+        self.text, self.linked, self.element = text, linked, element
+        self.points = sum(map(text.count, ".,;:!?"))
+        for e in (element, element.parent):
+            if e is not None:
+                e.chars, e.linked, e.points = e.chars + len(text), e.linked + linked, e.points + self.points
+
+
+def kinds_in(attributes: str) -> frozenset[str]:
+    """The kinds of the words in class, id and role."""
+    return frozenset(_KIND[w] for v in _NAMES.findall(attributes) for w in _WORD.findall(v.lower()) if w in _KIND)
+
+
+kinds_of = lru_cache(maxsize=10_000)(kinds_in)
+
+
+class Finder:
+    """Searches a page; what is not there after one place is not looked for after a later one."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def closing(self, name: str, at: int) -> int:
+        """The end of the next closing tag of a name, or -1."""
+        if name in self.gone:
+            return -1
+        m = _closing(name).search(self.page, at)
+        if m is None:
+            self.gone.add(name)
+            return -1
+        return m.end()
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > of a tag, outside quotes; -1 if another tag starts before, or -2 if the page ends."""
+        while m := _BREAK.search(self.page, at):
+            c = m[0]
+            if c == ">":
+                return m.start()
+            if c == "<":
+                return -1
+            at = self.find(c, m.end()) + 1
+            if not at:
+                return -2
+        return -2
+
+
+@lru_cache(maxsize=100)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def pieces(page: str):
+    """Texts as (None, text, False) and tags as (name, attributes, closes), in page order, without comments and declarations."""
+    finder, at, n = Finder(page), 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            yield None, page[at:start], False
+        if start == n:
+            return
+        if page.startswith("<!--", start):
+            end = finder.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page[start + 1 : start + 2] in ("!", "?") and start + 1 < n:
+            end = finder.find(">", start + 2)
+            at = end + 1 if end >= 0 else n
+            continue
+        m = _TAG.match(page, start)
+        end = finder.tag_end(m.end()) if m else -1
+        if end < 0:  # no tag: text; what an open end leaves is text as a whole
+            at = start + 1 if end == -1 else n
+            yield None, page[start:at], False
+            continue
+        closes = page[start + 1] == "/"
+        name = page[start + 1 + closes : m.end()].lower()
+        attributes, at = page[m.end() : end], end + 1
+        if name in RAW and not closes and name != "head" and not attributes.endswith("/"):
+            after = finder.closing(name, at)
+            at = after if after >= 0 else n if name in ("script", "style", "template") else at
+            continue
+        yield name, attributes, closes
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """The leaf blocks of a page, in page order, with references decoded and white space joined."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Element] = [Element("", "", None)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
     run: list[str] = []
-    linked, in_link, skip = 0, 0, ""
+    linked, in_link = 0, 0
 
     def close_block() -> None:
         nonlocal linked
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text:
-                out.append(Block(text, linked, tuple(t for t, _ in stack), frozenset().union(*(m for _, m in stack))))
+                out.append(Block(text, linked, stack[-1]))
             run.clear()
         linked = 0
 
-    def pop_to(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
-    html = html or ""
-    at, n = 0, len(html)
-    match = _TOKEN.match
-    while at < n:
-        m = match(html, at)
-        at = m.end()
-        name = m[2]
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def pop_to(names, stop=()) -> None:
+        """Closes the innermost element of these names, with all inside it, unless a stop is further in."""
+        k = last(names)
+        if k and k > last(stop):
+            while len(stack) > k:
+                places[stack.pop().tag].pop()
+
+    for name, piece, closes in pieces(html or ""):
         if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                run.append(piece)
-                if in_link:
-                    linked += len(piece)
-            continue
-        name = name.lower()
-        if name in RAW and not m[1]:
-            if name != "head" and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else n if name in ("script", "style", "template") else at
+            run.append(piece)
+            if in_link:
+                linked += len(piece)
             continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[1] else 1
+                in_link = 0 if closes else 1
             continue
         if name == "br":
             run.append(" ")
             continue
+        if name in RAW and not closes:
+            if name == "head":
+                close_block()
+            continue
         close_block()
         if name in VOID or name in RAW:
             continue
         in_link = 0
-        if m[1]:
-            pop_to({name})
+        if closes:
+            pop_to((name,))
             continue
         if name in CLOSES_P:
-            pop_to({"p"}, CLOSES_P - {"p"})
+            pop_to(("p",), _STOPS_P)
         if name in SELF_CLOSING:
             pop_to(SELF_CLOSING[name], LISTS)
-        stack.append((name, name_words(m[3])))
+        places[name].append(len(stack))
+        stack.append(Element(name, piece, stack[-1]))
     close_block()
     return out
 
 
 # -- features --------------------------------------------------------------------------
 
-#: Words in class and id names, by what they tell.
-MARKS = {
-    "main": "article content post entry story body main text prose page",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
-    "advert": "ad ads advert advertisement adsense banner promo promotion sponsor sponsored",
-    "notice": "cookie cookies consent notice alert gdpr popup modal overlay privacy disclaimer",
-    "edge": "header footer masthead topbar bottom copyright colophon legal",
-    "side": "sidebar side aside widget related recommended recommendations popular trending more teaser",
-    "talk": "comment comments reply replies disqus discussion respond reviews",
-    "form": "form search login signup subscribe newsletter share social sharing",
-}
-_KIND = {w: k for k, ws in MARKS.items() for w in ws.split()}
-_AREAS = frozenset("article main section nav header footer aside form table ul ol dl blockquote figure pre button dialog menu fieldset address details".split())
+_TOLD = frozenset("nav header footer aside form button menu dialog".split())
+
 
+def of_text(size: int, linked: int, points: int) -> str:
+    """Length, share of links and of punctuation, in few steps."""
+    return f"{min(size.bit_length() // 2, 5)},{min(int(3 * linked / max(size, 1)), 2)},{min(int(60 * points / max(size, 1)), 2)}"
 
-def features(block: Block, k: int, n: int) -> list[str]:
-    text = block.text
-    size = len(text)
-    share = block.linked / size
-    points = sum(map(text.count, ".,;:!?"))
+
+def features(blocks: list[Block], k: int) -> list[str]:
+    block, n = blocks[k], len(blocks)
+    text, e = block.text, block.element
+    size, around = len(text), e.parent or e
     out = [
-        "bias", f"tag={block.tag}", f"size={min(size.bit_length(), 10)}", f"links={min(int(share * 4), 4)}", f"points={min(int(100 * points / size), 6)}",
+        "bias", f"tag={e.tag}", f"size={min(size.bit_length(), 10)}", f"links={min(int(block.linked / size * 4), 4)}", f"points={min(int(100 * block.points / size), 6)}",
         f"place={'first' if k == 0 else 'last' if k == n - 1 else 'mid'}", f"ends={text[-1] in '.!?…'}",
+        f"before={of_text(len(blocks[k - 1].text), blocks[k - 1].linked, blocks[k - 1].points) if k else ''}",
+        f"after={of_text(len(blocks[k + 1].text), blocks[k + 1].linked, blocks[k + 1].points) if k + 1 < n else ''}",
+        f"own={of_text(e.chars, e.linked, e.points)}", f"around={of_text(around.chars, around.linked, around.points)}", f"outer={around.tag}",
     ]
-    out += [f"in={t}" for t in _AREAS.intersection(block.path)]
-    out += [f"mark={x}" for x in {_KIND[w] for w in block.marks if w in _KIND}]
+    form = of_text(size, block.linked, block.points)
+    told = "told" if _TOLD & e.areas or e.kinds - {"main"} else "untold"
+    out += [f"form={e.tag},{form}", f"form={told},{form}", f"{told},{e.tag}"]
+    out += [f"in={t}" for t in e.areas]
+    out += [f"mark={x}" for x in e.kinds]
+    out += [f"near={x}" for x in e.kinds - (around.kinds if around is not e else frozenset())]
     if "©" in text:
         out.append("copyright")
     return out
@@ -154,7 +269,7 @@ def features(block: Block, k: int, n: int) -> list[str]:
 # -- labelled pages --------------------------------------------------------------------
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 800, seed: int = 5) -> list[tuple[str, list[bool]]]:
     """Pages in many layouts with the label of every block, true for main text."""
     rng = random.Random(seed)
     syllables = "ba ne ti ro lu sa mi ko de fa ri no pe la tu so ha gi we yo".split()
@@ -173,8 +288,30 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[bool
             k = rng.randint(a, b)
             add(open_tag + "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k)) + "</ul>" + close_tag, *[False] * k)
 
+        bare = rng.random() < 0.4  # a layout of divs without telling names
+
+        def plain(add=add, links=links) -> None:
+            """What its form alone tells to be no main text."""
+            kind = rng.randrange(5)
+            name = rng.choice(["", "", f' class="{word()}"', f' id="c{rng.randint(1, 99)}"', ' class="row col wrap"'])
+            if kind == 0:
+                links(f"<div{name}>", "</div>", 2, 8)
+            elif kind == 1:
+                k = rng.randint(2, 7)
+                add(f"<div{name}>" + rng.choice(["", " | ", " "]).join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(k)) + "</div>", False)
+            elif kind == 2:
+                k = rng.randint(2, 6)
+                add(f"<div{name}>" + "".join(f'<div><a href="/{word()}">{words(1, 6)}</a></div>' for _ in range(k)) + "</div>", *[False] * k)
+            elif kind == 3:
+                add(f"<form><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button></form>", False, False)
+            else:
+                k = rng.randint(2, 6)
+                add(f"<table{name}><tr>" + "".join(f'<td><a href="/{word()}">{words(1, 2)}</a></td>' for _ in range(k)) + "</tr></table>", *[False] * k)
+
         def other(add=add, links=links) -> None:
-            kind = rng.randrange(10)
+            if bare:
+                return plain()
+            kind = rng.randrange(11)
             if kind == 0:
                 add(f'<div class="{rng.choice(["ad", "ads", "advert", "banner", "sponsored"])}">{prose(3, 40)}</div>', False)
             elif kind == 1:
@@ -194,26 +331,33 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[bool
                 who = rng.choice(['<div class="comments">', '<section id="comments">', '<div class="comment-list">'])
                 shut = "</section>" if "section" in who else "</div>"
                 add(who + "".join(f'<div class="comment"><b>{word()}</b> {prose(4, 60)}</div>' for _ in range(k)) + shut, *[False] * k)
+            elif kind == 10:
+                add(f'<div class="{rng.choice(["promo-box", "ad-slot", "sponsor box", "banner-inner"])}"><p>{prose(2, 25)}</p></div>', False)
             elif kind == 8:
                 add(f'<aside class="notice">{prose(4, 30)}</aside>', False)
             else:
                 add(f"<form><p>{prose(3, 12)}</p><input></form>", False)
 
-        if rng.random() < 0.8:
+        if bare:
+            plain()
+        elif rng.random() < 0.8:
             tag = rng.choice(["nav", "nav", "header", 'div class="menu"', 'div id="navigation"'])
             links(f"<{tag}>", f"</{tag.split()[0]}>", 2, 8)
-        if rng.random() < 0.3:
+        if not bare and rng.random() < 0.3:
             add(f"<header><h2>{words(1, 4)}</h2><p>{prose(2, 12)}</p></header>", False, False)
         for _ in range(rng.choice([0, 1, 1, 2, 3])):
             other()
-        holder = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', "section", 'div class="entry"', "body-only"])
-        add("" if holder == "body-only" else f"<{holder}>")
-        if rng.random() < 0.8:
+        holder = rng.choice(["body-only", "div", "div", f'div class="{word()}"', 'div id="c1"', "td", "center"]) if bare else rng.choice(["article", "article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', "section", 'div class="entry"', "body-only"])
+        add("" if holder == "body-only" else "<table><tr><td>" if holder == "td" else f"<{holder}>")
+        if rng.random() < 0.7:
             add(f"<h1>{words(2, 10)}</h1>", True)
-        for k in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
+        loose = bare and rng.random() < 0.25  # text without paragraphs
+        if loose:
+            add("<div>" + "<br><br>".join(prose(8, 80) for _ in range(rng.randint(1, 4))) + "</div>", True)
+        for k in range(0 if loose else rng.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = rng.random()
-            if kind < 0.72:
-                n = rng.choice([1, 3, 8, 20, 60, 120])
+            if kind < 0.7:
+                n = rng.choice([1, 3, 5, 8, 12, 20, 60, 120])
                 body = prose(max(1, n // 2), n + 2)
                 if rng.random() < 0.2:
                     body = f'{body} <a href="/{word()}">{words(1, 4)}</a> {prose(1, 20)}'
@@ -233,13 +377,20 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[bool
                 add("<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 8)}</td></tr>" for _ in range(n)) + "</table>", *[True] * 2 * n)
             elif kind < 0.92:
                 add(f"<pre>{words(3, 30)}</pre>", True)
-            elif k:
+            elif kind < 0.94:
+                add(f"<div>{prose(10, 60)}<br>{prose(3, 20)}</div>", True)
+            if k and rng.random() < 0.1:
                 other()
+        if rng.random() < 0.12:  # the page breaks off
+            out.append(("".join(html), marks))
+            continue
         if holder != "body-only" and rng.random() < 0.95:
-            add(f"</{holder.split()[0]}>")
+            add("</td></tr></table>" if holder == "td" else f"</{holder.split()[0]}>")
         for _ in range(rng.choice([0, 0, 1, 2, 3])):
             other()
-        if rng.random() < 0.85:
+        if bare and rng.random() < 0.8:
+            add(rng.choice(["<div>{}</div>", "<p>{}</p>", '<div class="row">{}</div>']).format(f"&copy; {rng.randint(1998, 2025)} {words(1, 8)}"), False)
+        elif not bare and rng.random() < 0.85:
             add(f'<{(tag := rng.choice(["footer", "footer", "div"]))}{" class=footer" if tag == "div" else ""}>&copy; {word()}.example &middot; {prose(2, 25)}</{tag}>', False)
         if rng.random() < 0.8:
             add("</body></html>")
@@ -259,8 +410,8 @@ class Field:
         self.move = np.zeros((2, 2))
 
     def scores(self, blocks: list[Block]) -> np.ndarray:
-        n, get, w = len(blocks), self.index.get, self.weights
-        return np.array([sum([w[i] for f in features(b, k, n) if (i := get(f)) is not None]) for k, b in enumerate(blocks)])
+        get, w = self.index.get, self.weights
+        return np.array([sum([w[i] for f in features(blocks, k) if (i := get(f)) is not None]) for k in range(len(blocks))])
 
     @property
     def weights(self) -> list[float]:
@@ -268,13 +419,13 @@ class Field:
             self._list = self.w.tolist()
         return self._list
 
-    def train(self, pages: list[tuple[str, list[bool]]], rounds: int = 60, rate: float = 0.25, decay: float = 2e-4) -> Field:
+    def train(self, pages: list[tuple[str, list[bool]]], rounds: int = 160, rate: float = 0.3, decay: float = 2e-4) -> Field:
         rows = []
         for html, marks in pages:
             blocks = blocks_of(html)
             if len(blocks) != len(marks):
                 raise ValueError(f"{len(blocks)} blocks and {len(marks)} labels in {html[:200]}")
-            rows.append(([[self.index.setdefault(f, len(self.index)) for f in features(b, k, len(blocks))] for k, b in enumerate(blocks)], np.array(marks, int)))
+            rows.append(([[self.index.setdefault(f, len(self.index)) for f in features(blocks, k)] for k in range(len(blocks))], np.array(marks, int)))
         most = max(len(m) for _, m in rows)
         # all pages side by side, padded to the longest
         count, size = len(rows), len(self.index)

@@ -1,9 +1,12 @@
 """HTML extraction, WARC derivatives, license scan, search."""
 
+import base64
 import gzip
+import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -27,6 +30,56 @@ def test_field_on_unseen_pages():
     assert right / total > 0.97
 
 
+#: Pages of other hands than the generator's, with their main text.
+PAGES = [
+    (
+        "<html><body><div><a href=/>Home</a> <a href=/a>About us</a> <a href=/c>Contact</a></div><div><h1>A walk in the hills</h1><p>We set out early, before the sun had risen over the valley.</p>"
+        "<p>By noon the path was steep and the wind was cold, but nobody turned back.</p><p>In the evening we reached the hut and slept.</p></div>"
+        "<div><div><a href=/1>Older post</a></div><div><a href=/2>Newer post</a></div></div><div>&copy; 2020 Someone</div></body></html>",
+        "A walk in the hills We set out early, before the sun had risen over the valley. By noon the path was steep and the wind was cold, but nobody turned back. In the evening we reached the hut and slept.",
+    ),
+    (
+        "<body><header><a href=/>Site</a></header><main><h1>Making bread at home</h1><p>Flour, water and salt are all that you need for a simple loaf.</p><div class='promo-box'>Buy our stuff today.</div>"
+        "<p>Let the dough rest overnight, then bake it in a hot oven for forty minutes.</p></main><footer>Imprint and contact</footer></body>",
+        "Making bread at home Flour, water and salt are all that you need for a simple loaf. Let the dough rest overnight, then bake it in a hot oven for forty minutes.",
+    ),
+    (
+        "<body><table><tr><td><a href=a>News</a></td><td><a href=b>Sports</a></td><td><a href=c>Weather</a></td></tr></table><table><tr><td><h2>River rises after a week of rain</h2>"
+        "<p>The river rose by two metres on Sunday, and the lower town was cut off for hours.</p><p>Firemen helped people out of their houses; nobody was hurt.</p></td></tr></table><p>&copy; 1999 The Paper</p></body>",
+        "River rises after a week of rain The river rose by two metres on Sunday, and the lower town was cut off for hours. Firemen helped people out of their houses; nobody was hurt.",
+    ),
+    (
+        "<div id=wrap><div class=menu><ul><li><a href=/>Start</a></li><li><a href=/b>Blog</a></li></ul></div><div class=post><h1>On learning to swim</h1><p>I was thirty when I learned to swim, and I was afraid of the water.</p>"
+        "<blockquote>Nobody sinks who breathes out slowly.</blockquote><ul><li>Start where you can stand.</li><li>Go with a friend.</li></ul></div>"
+        "<div id=comments><div class=comment><b>Ann</b> Great text, thank you!</div><div class=comment><b>Bob</b> I still sink.</div></div></div>",
+        "On learning to swim I was thirty when I learned to swim, and I was afraid of the water. Nobody sinks who breathes out slowly. Start where you can stand. Go with a friend.",
+    ),
+    (
+        "<body><div class='cookie-banner'>We use cookies to improve your visit. <button>Accept</button></div><section><h1>Opening hours</h1><p>The library is open from nine to five on weekdays.</p></section>"
+        "<aside><h3>Most read</h3><p>Ten books for the summer</p></aside></body>",
+        "Opening hours The library is open from nine to five on weekdays.",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_field_on_other_pages(page, want):
+    assert htmltext.main_text(htmltext.trained_field(), page) == want
+
+
+@pytest.mark.parametrize(
+    "part", ["<a b", "<div>x", '<a "', "<a \"<b '", "<svg>x", "<!--", "</x>y", "<x-a><p>z", "<li></li><ul>", "<textarea>", "<td><table>", "</p", "<div class='"]
+)
+def test_broken_pages_take_time_in_proportion(part):
+    """Twice the page takes about twice the time, a hundred thousand open tags included."""
+    took = []
+    for n in (50_000, 100_000):
+        began = time.process_time()
+        htmltext.blocks_of("<div>" * 20_000 + part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 3.2 * took[0] + 0.5
+
+
 def test_viterbi_is_the_best_path():
     field, rnd = htmltext.trained_field(), random.Random(1)
     for html, _ in htmltext.labelled_pages(30, seed=5000):
@@ -108,6 +161,41 @@ def test_warc_undoes_encodings():
     assert text is None and j["Not-Decoded"] == "br" and j["HTML-Metadata"] == {"Title": None, "Links": []}
 
 
+def test_warc_files(spark, tmp_path):
+    """Files read whole and by record, plain and packed, against what was put in."""
+    pages = [(f"http://a.example/{k}", f"T{k} <b>", f"word{k} é 中文 " * (k + 1)) for k in range(30)]
+    sources = [warc.response(str(k), u, f"<title>{t}</title><p>{x}</p>\r\n<a href='/l{k}'>go</a>") for k, (u, t, x) in enumerate(pages)]
+    info = warc.write_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x\r\n")
+    (tmp_path / "plain").mkdir(), (tmp_path / "packed").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(info + b"".join(sources))
+    (tmp_path / "packed/a.warc.gz").write_bytes(b"".join(map(gzip.compress, [info, *sources])))
+    whole = [warc.derive_files(spark.read.format("binaryFile").load(str(tmp_path / d))) for d in ("plain", "packed")]
+    for out in [*whole, *(warc.derive_warc(spark, str(tmp_path / d)) for d in ("plain", "packed"))]:
+        rows = out.collect()
+        assert Counter(r.kind for r in rows) == {"metadata": 30, "conversion": 30}
+        by_url = {}
+        for r in rows:
+            head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+            own = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            block = rest[: int(own["Content-Length"])]
+            assert rest[len(block) :] == b"\r\n\r\n" and own["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+            by_url.setdefault(own["WARC-Target-URI"], {})[r.kind] = (own["WARC-Refers-To"], block)
+        for k, (u, t, x) in enumerate(pages):
+            assert by_url[u]["conversion"][1].decode() == " ".join(x.split()) + "\ngo\n"
+            j = json.loads(by_url[u]["metadata"][1])["Envelope"]
+            assert j["HTML-Metadata"] == {"Title": t, "Links": [f"/l{k}"]} and by_url[u]["metadata"][0] == by_url[u]["conversion"][0] == j["WARC-Header-Metadata"]["WARC-Record-ID"]
+            assert f"WARC-Record-ID: {by_url[u]['metadata'][0]}".encode() in sources[k]
+    (tmp_path / "plain/a.warc").write_bytes(sources[0][:-30])
+    with pytest.raises(Exception, match="breaks off"):
+        warc.derive_warc(spark, str(tmp_path / "plain")).collect()
+
+
+def test_warc_without_ids():
+    made = [warc.derive([("WARC-Type", "response"), ("WARC-Target-URI", u)], b"HTTP/1.1 200 OK\r\n\r\n<p>a") for u in "ab"]
+    assert len({warc.get(h, "WARC-Record-ID") for m in made for _, h, _ in m}) == 4
+    assert all(warc.get(h, "WARC-Refers-To") is None for m in made for _, h, _ in m)
+
+
 def test_warc_tables(spark):
     rows = [(1, "u", "<p>a", 0), (1, "u", "<p>a", 0), (2, None, None, 0), (None, "w", "", 0)]
     out = warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string, kind long")).collect()
