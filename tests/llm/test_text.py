@@ -317,8 +317,10 @@ def slow_search(texts, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("shard", "frequent", "block"), [(1000, 8, 64), (9, 2, 4), (15, 100, 2)])
-def test_search(spark, shard, frequent, block, monkeypatch):
+@pytest.mark.parametrize(("shard", "frequent", "block", "queries", "dense"), [(1000, 8, 64, 99, 256), (9, 2, 4, 2, 3), (15, 100, 2, 5, 7)])
+def test_search(spark, shard, frequent, block, queries, dense, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERIES", queries)
+    monkeypatch.setattr(bm25, "DENSE", dense)
     monkeypatch.setattr(bm25, "FREQUENT", frequent)
     monkeypatch.setattr(bm25, "BLOCK", block)
     df = awkward(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -326,6 +328,17 @@ def test_search(spark, shard, frequent, block, monkeypatch):
     assert pairs(got, "query_id", "rank", "doc_id", "score") == slow_search([(r.doc_id, r.text) for r in df.collect()], 4)
 
 
+def test_rows_and_blocks_are_dealt_evenly(spark):
+    """A third of the rows are one row; every block of queries and shard has its own partition."""
+    rows = [(1, "same words here")] * 300 + [(i, f"w{i} words") for i in range(2, 602)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    deal = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(6))
+    assert max(r["count"] for r in bm25.vectors(df).groupBy(deal).count().collect()) < 220
+    for n in (1, 7, 40):
+        keys = spark.createDataFrame([(k,) for k in bm25.own_partitions(spark, n)], "key int").repartition(n, "key")
+        assert [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()] == [1] * n
+
+
 def test_counts_beyond_a_byte():
     n, terms, counts = bm25.vector("a " * 300 + "b " * 255 + "c")
     assert n == 556 and sorted(bm25.unpacked([counts, counts], [3, 3]).tolist()) == [1, 1, 255, 255, 300, 300] and len(terms) == 24
