@@ -43,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
-#: Learned models and connected components are beyond SQL; tests hold run() against a brute-force version.
+#: Learned models and connected components are beyond SQL; tests hold run() against its stages and, given the
+#: learned models, against a brute-force version.
 ORACLE_SQL = None
 
 
