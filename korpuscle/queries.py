@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import measures
-from .functions.text import PII, mask_pii
-from .operators import collocation, counting, dispersion, keyness, kwic, pairs, ranking, scopes, vectors
+from .functions.text import PII, is_word, mask_pii, tokens_of
+from .operators import collocation, counting, deps, dispersion, keyness, kwic, pairs, ranking, scopes, vectors
 from .operators.corpus import Corpus
 from .plans import matching, plain
 
@@ -329,9 +329,32 @@ def colloc_lrc(spark, d):
     return collocation.collocates(corpus(spark, d), NODE, 5, "s", min_freq=5, with_lrc=True).select("collocate", "o11", "lrc")
 
 
-@query()
+_FLOOR = "CASE WHEN fu >= 50 THEN 5 ELSE greatest(2, least(fu//10, 5)) END"
+
+
+@query(_MARK.format(scope="") + f""", c AS (SELECT word AS collocate, sum(in_w::INT) AS o, count(*) AS c FROM m GROUP BY word),
+ego AS (SELECT lower(collocate) AS target, w, row_number() OVER (ORDER BY w DESC, collocate) AS rk FROM (SELECT collocate, 14+log2(2.0*o/(fu+c)) AS w FROM c, (SELECT sum(is_start::INT) AS fu FROM m)
+  WHERE o >= {_FLOOR} AND regexp_matches(collocate,'[\\p{{L}}\\p{{N}}]') AND lower(collocate) <> 'the') ORDER BY w DESC, collocate LIMIT 19),
+met AS (SELECT DISTINCT t.doc_id, t.tok_idx, t.word_lc, t.is_word, h.word_lc AS hub FROM tok h JOIN tok t ON h.doc_id=t.doc_id AND h.sent_id=t.sent_id AND h.tok_idx<>t.tok_idx AND abs(h.tok_idx-t.tok_idx) <= 5
+  WHERE h.word_lc IN (SELECT target FROM ego WHERE rk <= 9)),
+f AS (SELECT word_lc, count(*) AS c1 FROM tok GROUP BY word_lc),
+ring AS (SELECT hub, p.word_lc, 14+log2(2.0*o11/(h.c1+f.c1)) AS w FROM (SELECT hub, word_lc, count(*) AS o11, bool_and(is_word) AS ok FROM met GROUP BY ALL) p JOIN (SELECT word_lc AS hub, c1, c1 AS fu FROM f) h USING (hub) JOIN f ON f.word_lc=p.word_lc
+  WHERE ok AND hub <> p.word_lc AND (p.word_lc='the' OR p.word_lc IN (SELECT target FROM ego)) AND o11 >= {_FLOOR}),
+edges AS (SELECT 'the' AS source, target, w, 1 AS depth, rk FROM ego UNION ALL SELECT hub, word_lc, w, 2, row_number() OVER (ORDER BY hub, w DESC, word_lc) FROM ring)
+SELECT source, target, round(w,6) AS weight, depth FROM edges QUALIFY row_number() OVER (PARTITION BY least(source,target), greatest(source,target) ORDER BY depth, rk) = 1""")
 def colloc_network(spark, d):
-    return collocation.network(corpus(spark, d), NODE, depth=2, nodes=20)
+    return collocation.network(corpus(spark, d), NODE, depth=2, nodes=20).select("source", "target", *r6("weight"), "depth")
+
+
+@query(""", h AS (SELECT *, coalesce(word_lc='of' AND lead(word_lc) OVER g='the', false) AS is_start, coalesce(word_lc='the' AND lag(word_lc) OVER g='of', false) AS is_last FROM tok WINDOW g AS (PARTITION BY doc_id ORDER BY tok_idx)),
+m AS (SELECT *, coalesce(max(is_start::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING),0) + coalesce(max(is_last::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),0) > 0 AS in_w FROM h)
+SELECT collocate, o11, c1, r1, n, fu, round(14+log2(2.0*o11/(fu+c1)),6)+0.0 AS logdice FROM (SELECT word AS collocate, sum(in_w::INT)::BIGINT AS o11, count(*) AS c1 FROM m GROUP BY word),
+(SELECT sum(in_w::INT)::BIGINT AS r1, count(*) AS n, sum(is_start::INT)::BIGINT AS fu FROM m) WHERE o11 >= 3 AND regexp_matches(collocate,'[\\p{L}\\p{N}]')""")
+def colloc_phrase(spark, d):
+    """Collocates of a node of two tokens: its window starts at either end of the hit."""
+    c = corpus(spark, d)
+    out = collocation.collocates(c, plain.search(c, '"of the"'), 3, "s", min_freq=3)
+    return out.select("collocate", "o11", "c1", "r1", "n", "fu", *r6("logdice"))
 
 
 # -- dispersion, trend, diversity ------------------------------------------------------
@@ -352,10 +375,15 @@ def dispersion_family(spark, d):
     return dispersion.family(dispersion.profile(c, plain.search(c, NODE))).select(*r6("vc", "juilland_d", "carroll_d2"))
 
 
-@query()
+@query(_PROFILE + """, q AS (SELECT *, s/n AS p, f*(s/n) AS ideal, floor(f*(s/n)) AS base, floor(f*(s/n))+1 AS k FROM z),
+w AS (SELECT *, CASE WHEN ideal > 30 THEN sqrt(2*ideal*(1-p)/pi()) WHEN p > 0 AND p < 1 THEN 2*k*exp(lgamma(f+1)-lgamma(k+1)-lgamma(f-k+1)+k*ln(p)+(f-k+1)*ln(1-p)) ELSE 0 END AS mad,
+  CASE WHEN row_number() OVER (ORDER BY ideal-base DESC, s) <= f - sum(base) OVER () THEN base+1 ELSE base END AS even FROM q),
+v AS (SELECT max(f)::BIGINT AS hits, count(*) AS n_docs, count(*) FILTER (o>0) AS range, 0.5*sum(abs(o/f-p)) AS dp, 0.5*sum(abs(even/f-p)) AS dp_min, 0.5*sum(mad)/max(f) AS dp_expected, 1-min(p) AS dp_max FROM w)
+SELECT hits, n_docs, range, round(dp,6) AS dp, round(dp_min,6) AS dp_min, round(dp_expected,6) AS dp_expected, round(dp_max,6) AS dp_max, CASE WHEN dp_max-dp_min < 0.05 THEN 'too_few_hits' WHEN dp <= 0.75*dp_expected THEN 'even'
+WHEN dp <= dp_expected THEN 'fairly_even' WHEN (dp-dp_expected)/(dp_max-dp_expected) >= 0.5 THEN 'clustered' ELSE 'fairly_clustered' END AS label FROM v""")
 def dispersion_expected(spark, d):
     c = corpus(spark, d)
-    return dispersion.dispersion(c, plain.search(c, NODE))
+    return dispersion.dispersion(c, plain.search(c, NODE)).select("hits", "n_docs", "range", *r6("dp", "dp_min", "dp_expected", "dp_max"), "label")
 
 
 @query("SELECT doc_id, floor(tok_idx::DOUBLE*20/n_tokens)::INT AS bin, count(*) AS n_hits FROM tok JOIN docs USING (doc_id) WHERE word_lc='the' GROUP BY ALL")
@@ -425,7 +453,8 @@ _cql("cql_in_set", '[word in {"of","to"}%c] [] [word="th.*"]', f"""SELECT doc_id
 FROM (SELECT *, lower(word) IN ('of','to') AND regexp_full_match(n2,'th.*') AS ok FROM {_NEXT})) WHERE ok AND before IS NULL""")
 _cql("cql_gap_nfa", '[word="of"] [word!="of"]{0,3} [word="the"]', """SELECT doc_id, tok_idx AS start_idx, last+1 AS end_idx FROM (SELECT *, max(CASE WHEN word='the' THEN tok_idx END) OVER (PARTITION BY doc_id, sent_id, grp ORDER BY tok_idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS last
 FROM (SELECT *, sum((word='of')::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_idx) AS grp FROM tok)) WHERE word='of' AND last IS NOT NULL""")
-_cql("cql_alternation", '([word="of"] | [word="to"] [word="be"]) [word="the"]', None)
+_cql("cql_alternation", '([word="of"] | [word="to"] [word="be"]) [word="the"]', f"""SELECT doc_id, tok_idx AS start_idx, tok_idx+2 AS end_idx FROM {_NEXT} WHERE word='of' AND n1='the'
+UNION ALL SELECT doc_id, tok_idx, tok_idx+3 FROM {_NEXT} WHERE word='to' AND n1='be' AND n2='the'""")
 _cql("cql_within_doc", r'within(<doc>, [word="\."] [word="The"])', "SELECT doc_id, tok_idx AS start_idx, tok_idx+2 AS end_idx FROM (SELECT *, lead(word,1) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS n1 FROM tok) WHERE word='.' AND n1='The'")
 
 
@@ -434,6 +463,87 @@ def cql_type_count(spark, d):
     return matching.type_count(corpus(spark, d), "word", "th.*")
 
 
+# -- annotated tokens ------------------------------------------------------------------
+
+#: Tags, readings and heads by rule over the documents' tokens, to query what a real annotation carries.
+_ANN_SQL = r""", ann AS (SELECT *, CASE WHEN NOT is_word THEN 'PUNCT' WHEN regexp_matches(word,'^\p{Lu}') THEN 'NAME' ELSE 'WORD' END AS pos_tag, CASE WHEN regexp_matches(word_lc,'..s$') THEN word_lc || '|' || word_lc[:-2] ELSE word_lc END AS lemma,
+CASE WHEN tok_idx=0 THEN 'ROOT' WHEN NOT is_word THEN 'punct' WHEN tok_idx%2=0 THEN 'mod' ELSE 'obj' END AS rel, greatest(tok_idx-1-tok_idx%2, 0) AS head_idx FROM tok) """
+
+
+def annotated(spark, d) -> Corpus:
+    """The documents' tokens with tag, lemma, relation and head by rule; half of the heads are one token before, half two."""
+    c, i = corpus(spark, d), F.col("tok_idx")
+    tag = F.when(~F.col("is_word"), "PUNCT").when(F.col("word").rlike(r"^\p{Lu}"), "NAME").otherwise("WORD")
+    two = F.concat("word_lc", F.lit("|"), F.expr("substr(word_lc, 1, length(word_lc) - 1)"))
+    rel = F.when(i == 0, "ROOT").when(~F.col("is_word"), "punct").when(i % 2 == 0, "mod").otherwise("obj")
+    tokens = c.tokens.withColumns({"pos_tag": tag, "lemma": F.when(F.col("word_lc").rlike("..s$"), two).otherwise(F.col("word_lc")), "rel": rel, "head_idx": F.greatest(i - 1 - i % 2, F.lit(0))})
+    return Corpus(tokens, c.docs, c.meta)
+
+
+@query(_ANN_SQL + "SELECT pos_tag AS key, count(*) AS freq FROM ann GROUP BY pos_tag")
+def freq_tags(spark, d):
+    return counting.frequency(annotated(spark, d), "pos")
+
+
+@query(_ANN_SQL + "SELECT word_lc AS key, count(*) AS freq FROM ann WHERE is_word AND pos_tag='NAME' GROUP BY word_lc")
+def freq_of_tag(spark, d):
+    return counting.frequency(annotated(spark, d), "word", pos="NAME", with_labels=False)
+
+
+@query(_ANN_SQL + "SELECT lemma, reading, count(*) AS freq FROM (SELECT lemma, unnest(string_split(lemma,'|')) AS reading FROM ann WHERE contains(lemma,'|')) WHERE reading <> '' GROUP BY ALL")
+def lemma_readings(spark, d):
+    return counting.alternative_lemmas(annotated(spark, d))
+
+
+@query(_ANN_SQL + ", k AS (SELECT word_lc, count(*) FILTER (lang='en') AS a, count(*) FILTER (lang='de') AS c FROM ann WHERE is_word AND pos_tag='NAME' AND lang IN ('en','de') GROUP BY word_lc) " + _KSQL.format(cols=_KCOLS))
+def keyness_of_tag(spark, d):
+    return keyness.keyness(annotated(spark, d), *en_de(), pos="NAME", inference=False).select("word_lc", "a", "c", *r6(*_KEY))
+
+
+@query(_ANN_SQL + """SELECT doc_id, tok_idx AS start_idx, tok_idx+2 AS end_idx FROM (SELECT *, lead(pos_tag) OVER w AS p1, lead(lemma) OVER w AS l1 FROM ann WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_idx)) WHERE pos_tag='NAME' AND p1='WORD' AND l1='of'""")
+def cql_annotated(spark, d):
+    return matching.match(annotated(spark, d), '[pos="NAME"] [pos="WORD" & lemma="of"]').select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start_idx", "end_idx")])
+
+
+@query(_ANN_SQL + "SELECT doc_id, tok_idx FROM ann h WHERE word_lc='of' AND EXISTS (SELECT 1 FROM ann x WHERE x.doc_id=h.doc_id AND x.head_idx=h.tok_idx AND x.tok_idx<>h.tok_idx AND x.rel='mod' AND x.word_lc='the')")
+def dependency_hits(spark, d):
+    return plain.search(annotated(spark, d), "of >mod the").select("doc_id", F.col("start_idx").cast("long").alias("tok_idx"))
+
+
+_ARCS = _ANN_SQL + ", arcs AS (SELECT x.rel, x.word AS dep, h.word AS head FROM ann x JOIN ann h ON h.doc_id=x.doc_id AND h.tok_idx=x.head_idx WHERE x.head_idx<>x.tok_idx)"
+
+
+@query(_ARCS + "SELECT rel, head, count(*) AS n FROM arcs GROUP BY ALL")
+def dependency_arcs(spark, d):
+    return deps.arcs(annotated(spark, d)).groupBy("rel", "head").agg(F.count("*").alias("n"))
+
+
+@query(_ARCS + f""", s AS (SELECT rel AS relation, dep AS word FROM arcs WHERE head='the' UNION ALL SELECT rel || '_rev', head FROM arcs WHERE dep='the'), fr AS (SELECT word, count(*) AS f2 FROM tok GROUP BY word),
+x AS (SELECT relation, word, f, f1, f2, n, f::DOUBLE AS o, f1::DOUBLE AS r, f2::DOUBLE AS c, n::DOUBLE AS nd FROM (SELECT relation, word, count(*) AS f FROM s WHERE relation NOT IN ('ROOT','punct','ROOT_rev','punct_rev') GROUP BY ALL) JOIN fr USING (word),
+  (SELECT sum(f2)::BIGINT AS n, coalesce(sum(f2) FILTER (word='the'),0)::BIGINT AS f1 FROM fr) WHERE f >= 3 AND regexp_matches(word,'[\\p{{L}}\\p{{N}}]'))
+SELECT relation, word, f, f1, f2, n, round((o-r*c/nd)/sqrt(o),6)+0.0 AS t, round({_G2},6)+0.0 AS ll, round(2*o/(r+c),6) AS dice, round(14+log2(2*o/(r+c)),6)+0.0 AS logdice
+FROM x QUALIFY lower(word)<>'the' OR count(*) FILTER (lower(word)<>'the') OVER (PARTITION BY relation) = 0""")
+def word_sketch(spark, d):
+    return deps.sketch(annotated(spark, d), NODE, 3).select("relation", "word", "f", "f1", "f2", "n", *r6("t", "ll", "dice", "logdice"))
+
+
+@query(""", o AS (SELECT word_lc, count(*) AS a FROM tok WHERE is_word GROUP BY word_lc),
+e AS (SELECT lower(word) AS word_lc, count(*) AS c FROM (SELECT unnest(regexp_extract_all(coalesce(text,''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS word FROM conversations) WHERE regexp_matches(word,'[\\p{L}\\p{N}]') GROUP BY ALL),
+k AS (SELECT word_lc, coalesce(a,0) AS a, coalesce(c,0) AS c FROM o FULL JOIN e USING (word_lc)) """ + _KSQL.format(cols=_KCOLS))
+def keyness_external(spark, d):
+    """Against the word list of the conversations."""
+    words = table(spark, d, "conversations").select(F.explode(tokens_of(F.col("text"))).alias("word")).where(is_word(F.col("word")))
+    listed = words.groupBy("word").agg(F.count("*").alias("freq"))
+    total = listed.agg(F.sum("freq")).first()[0]
+    return keyness.external(corpus(spark, d), listed, total).select("word_lc", "a", "c", *r6(*_KEY))
+
+
+@query("SELECT doc_id FROM tok WHERE word_lc='the' UNION SELECT doc_id FROM tok WHERE word_lc='thing'")
+def docset_union(spark, d):
+    c = corpus(spark, d)
+    return scopes.union(scopes.docset_from_hits(plain.search(c, "the")), scopes.docset_from_hits(plain.search(c, "thing"))).select("doc_id")
+
+
 # -- concordances ----------------------------------------------------------------------
 
 _ARR = ", a AS (SELECT doc_id, list(word ORDER BY tok_idx) AS w FROM tok GROUP BY doc_id), k AS (SELECT doc_id, tok_idx AS match_start, tok_idx+1 AS match_end, array_to_string(w[greatest(1,tok_idx-4):tok_idx],' ') AS \"left\", w[tok_idx+1] AS node, array_to_string(w[tok_idx+2:tok_idx+6],' ') AS \"right\" FROM tok JOIN a USING (doc_id) WHERE word_lc='thing') "
@@ -464,6 +574,27 @@ def kwic_page(spark, d):
     return _out(kwic.page(_lines(spark, d), 10, 20))
 
 
+@query(_ARR + """SELECT doc_id, "left", node, "right", match_start, match_end FROM k WHERE contains(lower("right"), 'the')""")
+def kwic_filtered(spark, d):
+    return _out(kwic.Concordance(_lines(spark, d)).apply("filter_contains", column="right", text="The").rows)
+
+
+@query(""", a AS (SELECT doc_id, list(word ORDER BY tok_idx) AS w FROM tok GROUP BY doc_id), f AS (SELECT doc_id, min(tok_idx) AS first_idx FROM tok WHERE word_lc='thing' GROUP BY doc_id)
+SELECT doc_id, concat_ws(' ', array_to_string(w[greatest(1,first_idx-11):first_idx],' '), w[first_idx+1], array_to_string(w[first_idx+2:first_idx+13],' ')) AS snippet, first_idx FROM f JOIN a USING (doc_id)""")
+def kwic_snippets(spark, d):
+    c = corpus(spark, d)
+    return kwic.snippet(c, plain.search(c, "thing")).withColumn("first_idx", F.col("first_idx").cast("long"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])\s*') AS p FROM documents),
+s AS (SELECT doc_id, list_transform(p, lambda x: regexp_replace(x, '\s+$', ' ')) AS s FROM p), k AS (SELECT doc_id, s, unnest(s) AS piece, generate_subscripts(s,1) AS i FROM s)
+SELECT doc_id, rtrim(array_to_string(s[greatest(1,i-5):i-1],''),' ') AS "left", rtrim(piece,' ') AS node, rtrim(array_to_string(s[i+1:i+5],''),' ') AS "right" FROM k WHERE lower(rtrim(piece,' '))='thing'""", prelude=False)
+def kwic_spaced(spark, d):
+    """Lines spaced as in the source."""
+    c = Corpus.from_documents(table(spark, d, "documents"), meta=[], spacing=True)
+    return kwic.source_lines(c, plain.search(c, "thing")).select(*_KWIC)
+
+
 @query()
 def kwic_sample(spark, d):
     return _out(kwic.sample(_lines(spark, d), 20, seed=7))
