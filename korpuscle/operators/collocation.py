@@ -114,6 +114,12 @@ def contrast(corpus: Corpus, node: str | Column, target: Column, reference: Colu
     )
 
 
+def version_contrast(corpus: Corpus, node: str | Column, role: str, anchor: str, window: int = 5, within: str = "s", min_freq: int = 5) -> DataFrame:
+    """contrast() with its sides from pairing: documents whose role is ``anchor`` against all other versions; a null role is on neither side."""
+    own = F.col(role) == anchor
+    return contrast(corpus, node, own, ~own, window, within, min_freq)
+
+
 def co_occurrence(corpus: Corpus, node: str, collocates_: list[str], window: int = 5, within: str = "s", attr: str = "word") -> DataFrame:
     """Node hits whose own window holds every collocate: one frame sum for each."""
     w = unit(within)

@@ -23,9 +23,20 @@ def normal_value(v: Any) -> Any:
     return (v.strip() or None) if isinstance(v, str) else v
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _same(c: Column, v: Any) -> Column:
+    """Equal as text, or as numbers where column and value are numbers: 1 is 1.0."""
+    same = c.cast("string") == F.lit(str(v))
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return same
+    return same | (F.typeof(c).isin(*_NUMBERS) & (c.cast("string").try_cast("double") == F.lit(float(v))))
+
+
 def _compare(c: Column, op: str, v: Any) -> Column:
     if op in ("=", "!="):
-        same = c.cast("string") == F.lit(str(v))
+        same = _same(c, v)
         return same if op == "=" else ~same
     if isinstance(v, bool) or not isinstance(v, (int, float, str)):
         return F.lit(False)
@@ -46,9 +57,9 @@ def condition(field: str, spec: Any, column: Column) -> Column | None:
         return F.coalesce(_compare(column, op, normal_value(spec["value"])), F.lit(False))
     if isinstance(spec, (list, tuple, set)):
         values = [x for x in map(normal_value, spec) if x is not None]
-        return F.coalesce(column.cast("string").isin([str(x) for x in values]), F.lit(False)) if values else None
+        return F.coalesce(reduce(Column.__or__, [_same(column, x) for x in values]), F.lit(False)) if values else None
     v = normal_value(spec)
-    return None if v is None else F.coalesce(column.cast("string") == str(v), F.lit(False))
+    return None if v is None else F.coalesce(_same(column, v), F.lit(False))
 
 
 def docset_from_meta(corpus: Corpus, filters: dict[str, Any]) -> DataFrame:

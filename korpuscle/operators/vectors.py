@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, cut
+from .corpus import Corpus
 from .running import running_start
 
-#: Cosine of a tie and mean cohesion of a cluster, for the first and the second pass.
-LEVELS = ((0.60, 0.58), (0.52, 0.50))
+#: Cosine of a tie and mean cohesion of a cluster, for the first and the second pass; fewest vectors of a cluster in the first.
+LEVELS, LEAST = ((0.60, 0.58), (0.52, 0.50)), 5
 #: Vectors in a block, and blocks in a partition of either side of the comparison.
 BLOCK, LEFT, RIGHT = 1024, 8, 16
 
@@ -72,11 +73,12 @@ def similarity_matrix(groups: DataFrame, by: str = "label", col: str = "centroid
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
 
 
-def cluster(x: np.ndarray) -> np.ndarray:
+def cluster(x: np.ndarray, min_size: int = LEAST) -> np.ndarray:
     """Labels of a few vectors; -1 for none.
 
     Each vector is tied to its three nearest where either side counts the other among its
-    own, at a cosine of 0.60, then 0.52; connected parts of mean cohesion 0.58, then 0.50, are clusters.
+    own, at a cosine of 0.60, then 0.52; connected parts of mean cohesion 0.58, then 0.50, are clusters
+    if they have ``min_size`` vectors, then one less, but two at least.
     """
     n = len(x)
     out = np.full(n, -1)
@@ -90,7 +92,7 @@ def cluster(x: np.ndarray) -> np.ndarray:
     near[np.arange(n)[:, None], top] = True
     near |= near.T
     next_label = 0
-    for least, cohesion in LEVELS:
+    for (least, cohesion), fewest in zip(LEVELS, fewest_of(min_size), strict=True):
         free = out < 0
         tie = near & (sims >= least) & free[:, None] & free[None, :]
         seen = ~free
@@ -105,7 +107,7 @@ def cluster(x: np.ndarray) -> np.ndarray:
                 for k in np.flatnonzero(tie[j] & ~seen):
                     seen[k] = True
                     todo.append(int(k))
-            if len(part) > 1:
+            if len(part) >= fewest:
                 inner = sims[np.ix_(part, part)]
                 if (inner.sum() + len(part)) / (len(part) * (len(part) - 1)) >= cohesion:
                     out[part] = next_label
@@ -113,12 +115,17 @@ def cluster(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", limit: int = 5000) -> DataFrame:
+def fewest_of(min_size: int) -> tuple[int, int]:
+    """The fewest vectors of a cluster in either pass."""
+    return max(2, min_size), max(2, min_size - 1)
+
+
+def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", limit: int = 5000, min_size: int = LEAST) -> DataFrame:
     """Clusters of a small selection of vectors; more than ``limit`` rows are an error."""
     rows = vectors.select(id_col, col).orderBy(id_col).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"clustering takes at most {limit} vectors")
-    labels = cluster(np.array([r[col] for r in rows], float)) if rows else []
+    labels = cluster(np.array([r[col] for r in rows], float), min_size) if rows else []
     return vectors.sparkSession.createDataFrame([(r[id_col], int(k)) for r, k in zip(rows, labels, strict=True)], f"{id_col} long, cluster int")
 
 
@@ -188,7 +195,7 @@ def near_ties(rows: DataFrame, k: int = 3, least: float = LEVELS[-1][0]) -> Data
         conf.set(size, before)
 
 
-def cluster_all(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+def cluster_all(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", min_size: int = LEAST) -> DataFrame:
     """The clusters of ``cluster`` over a whole table: id and label of every row, -1 for none.
 
     Neighbours are found in blocks, connected parts by alternating stars, and the cohesion of a part from the
@@ -198,7 +205,7 @@ def cluster_all(vectors: DataFrame, id_col: str = "vec_id", col: str = "embeddin
     near = near_ties(rows)
     unit = rows.withColumn("length", F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(1e-12))).select(F.col("row").alias("node"), "id", F.transform("v", lambda x: x / F.col("length")).alias("u"))
     done, labels = None, 0
-    for least, cohesion in LEVELS:
+    for (least, cohesion), fewest in zip(LEVELS, fewest_of(min_size), strict=True):
         tie = near.where(F.col("similarity") >= least).select("a", "b")
         if done is not None:
             for end in ("a", "b"):
@@ -207,10 +214,18 @@ def cluster_all(vectors: DataFrame, id_col: str = "vec_id", col: str = "embeddin
         inside = parts.join(unit, "node")
         sums = inside.select("root", F.posexplode("u").alias("i", "x")).groupBy("root", "i").agg(F.sum("x").alias("x")).groupBy("root").agg(F.sum(F.col("x") * F.col("x")).alias("all"))
         sizes = inside.groupBy("root").agg(F.count("*").alias("n"), F.sum(dot(F.col("u"), F.col("u"))).alias("same"), F.min("id").alias("id"))
-        good = cut(sizes.join(sums, "root").where((F.col("all") - F.col("same")) / (F.col("n") * (F.col("n") - 1)) >= cohesion).select("root", "id", F.lit(1).alias("one")))
+        good = cut(sizes.where(F.col("n") >= fewest).join(sums, "root").where((F.col("all") - F.col("same")) / (F.col("n") * (F.col("n") - 1)) >= cohesion).select("root", "id", F.lit(1).alias("one")))
         named = running_start(good, "one", "before", order="id").select("root", (F.col("before") + labels).cast("int").alias("cluster"))
         labels += good.count()
         found = parts.join(named, "root").select("node", "cluster")
         done = cut(found if done is None else done.union(found))
     out = rows.select(F.col("id").alias(id_col), F.col("row").alias("node")).join(done, "node", "left")
     return out.select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def cluster_labels(corpus: Corpus, members: DataFrame) -> DataFrame:
+    """(cluster, label, size): the commonest folded word of each cluster of (doc_id, cluster), ties by the word; -1 has none."""
+    own = members.where("cluster >= 0").select("doc_id", "cluster")
+    freq = corpus.tokens.where("is_word").join(own, "doc_id").groupBy("cluster", "word_lc").agg(F.count("*").alias("n"))
+    best = freq.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "word_lc")).alias("b"))
+    return own.groupBy("cluster").agg(F.count("*").alias("size")).join(best, "cluster", "left").select("cluster", F.coalesce("b.word_lc", F.lit("")).alias("label"), "size")

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -200,10 +202,46 @@ def general(corpus: Corpus, q, scope: str, offset: int, overlapping: bool) -> Da
     return arrays.mapInArrow(run, f"doc_id {ident.simpleString()}, " + ", ".join(f"{c} int" for c in _PLACES))
 
 
-def hits(corpus: Corpus, query: str, case_sensitive: bool = False, overlapping: bool = False) -> DataFrame:
-    """Hits of a query in either language."""
+_CO = re.compile(r"\s*co\((.*)\)\s*$", re.I | re.S)
+_ARGUMENT = re.compile(r'(\w+)\s*=\s*("(?:\\.|[^"\\])*"|[^,"]*)')
+
+
+def co_query(query: str) -> dict | None:
+    """The arguments of ``co(term=.., collocate=a|b, window=, within_sentence=, attribute=)``; None for other queries."""
+    m = _CO.match(query)
+    if not m:
+        return None
+    bare = lambda v: v[1:-1] if v[:1] == '"' else v.strip()
+    given = {k.lower(): bare(v) for k, v in _ARGUMENT.findall(m[1])}
+    literal = lambda v: re.sub(r"\\(.)", r"\1", v).strip()
+    words = [literal(x) for x in re.split(r"(?<!\\)\|", given.get("collocate") or given.get("collocates") or "")]
+    term, words = literal(given.get("term", "")), [*dict.fromkeys(w for w in words if w)]
+    if not term or not words:
+        raise PatternError("co() needs a term and a collocate")
+    size = given.get("window") or given.get("w") or "5"
+    inside = given.get("within_sentence") or given.get("within") or "true"
+    return {
+        "node": term, "collocates_": words, "window": int(size) if size.isdigit() and int(size) else 5, "within": "s" if inside.lower() in ("1", "true", "yes") else "doc",
+        "attr": "lemma" if (given.get("attribute") or given.get("attr") or "").lower() == "lemma" else "word",
+    }
+
+
+def hits(corpus: Corpus, query: str, case_sensitive: bool = False, overlapping: bool = False, similar: Callable[[str, int], list[str]] | None = None) -> DataFrame:
+    """Hits of a query in either language, or of a ``co()`` query.
+
+    ``similar(word, k)`` lists the words that ``sim("word")`` stands for. Tags that the corpus does not have are an error here.
+    """
+    from ..operators import collocation, vectors
+
+    co = co_query(query)
+    if co is not None:
+        return collocation.co_occurrence(corpus, **co)
+    if "sim" in query and similar is not None:
+        query = vectors.expand_similar(query, similar)
     if plain.is_pattern(query):
-        return match(corpus, query, overlapping)
+        tree = parse(query)
+        tagged = any(c.attr in CLOSED for clause in clauses_of(normalize(tree)) for c in clause.conds)
+        return match(corpus, tree, overlapping, tag_set(corpus) if tagged else None)
     return plain.search(corpus, query, case_sensitive)
 
 

@@ -185,7 +185,7 @@ def parse(query: str):
 def is_pattern(query: str) -> bool:
     """True if a query is written in the pattern language."""
     q = query.strip()
-    return q.startswith("cql:") or bool(re.match(r"(\[\s*\]|\[[^\]]*\"[^\"]*\"|within\(|where\()", q))
+    return q.startswith("cql:") or bool(re.match(r"(?:\(\s*)*(\[\s*\]|\[[^\]]*\"[^\"]*\"|within\(|where\()", q))
 
 
 class _Evaluator:

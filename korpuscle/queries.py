@@ -357,6 +357,20 @@ def colloc_phrase(spark, d):
     return out.select("collocate", "o11", "c1", "r1", "n", "fu", *r6("logdice"))
 
 
+#: The turns of the conversations as documents, their roles in place of languages.
+_TURNS = TOK.replace("documents", "(SELECT conv_id*1000+turn AS doc_id, role AS lang, '' AS source, text FROM conversations)")
+_USER = _SIDE.replace("source IN ('src1','src2','src3')", "lang='user'").replace("source NOT IN ('src1','src2','src3')", "lang<>'user'")
+
+
+@query(_TURNS + _MARK.format(scope="") + _USER + """SELECT collocate, o_t AS target_freq, o_r AS reference_freq, round(1e6*o_t/n_t - 1e6*o_r/n_r,6)+0.0 AS diff_per_million,
+round(log2(((o_t+0.5)/n_t)/((o_r+0.5)/n_r)),6)+0.0 AS log_ratio FROM p, s WHERE greatest(o_t,o_r) >= 2""", prelude=False)
+def colloc_versions(spark, d):
+    """Collocates in users' turns against those in all other turns of the conversations."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text")
+    out = collocation.version_contrast(Corpus.from_documents(turns, meta=["role"]), NODE, "role", "user", min_freq=2)
+    return out.select("collocate", "target_freq", "reference_freq", *r6("diff_per_million", "log_ratio"))
+
+
 # -- dispersion, trend, diversity ------------------------------------------------------
 
 _PROFILE = ", p AS (SELECT n_tokens AS s, coalesce(h,0) AS o FROM docs LEFT JOIN (SELECT doc_id, count(*) AS h FROM tok WHERE word_lc='the' GROUP BY doc_id) USING (doc_id)), z AS (SELECT o::DOUBLE AS o, s::DOUBLE AS s, f::DOUBLE AS f, n::DOUBLE AS n FROM p, (SELECT sum(o) AS f, sum(s) AS n FROM p)) "
@@ -696,6 +710,12 @@ def similarity_matrix(spark, d):
     return out.select("a", "b", (F.round("similarity", 5) + F.lit(0.0)).alias("similarity"))
 
 
+@query(", x AS (SELECT doc_id%7 AS cluster, word_lc, count(*) AS n FROM tok WHERE is_word GROUP BY ALL) SELECT c.cluster, coalesce(label,'') AS label, c.size FROM (SELECT doc_id%7 AS cluster, count(*) AS size FROM documents GROUP BY ALL) c LEFT JOIN (SELECT cluster, arg_min(word_lc, (-n, word_lc)) AS label FROM x GROUP BY cluster) l ON l.cluster=c.cluster")
+def cluster_labels(spark, d):
+    c = corpus(spark, d)
+    return vectors.cluster_labels(c, c.docs.select("doc_id", (F.col("doc_id") % 7).alias("cluster")))
+
+
 @query()
 def vector_clusters(spark, d):
     return vectors.cluster_all(table(spark, d, "embeddings"))

@@ -167,12 +167,41 @@ def test_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vectors.nearest(df, [1.0, 0.0], 2).collect()] == [0, 1]
     x = np.array([[1, 0], [1, 0.05], [0.98, 0.1], [0, 1], [0.02, 1], [-1, -1]])
-    assert vectors.cluster(x).tolist() == [0, 0, 0, 1, 1, -1]
+    assert vectors.cluster(x, 2).tolist() == [0, 0, 0, 1, 1, -1]
+    assert vectors.cluster(x).tolist() == [-1] * 6 and vectors.cluster(x, 4).tolist() == [0, 0, 0, -1, -1, -1]
     assert vectors.expand_similar('[sim="tea" & k=2]', lambda w, k: ["coffee", "milk"][:k]) == '[word in {"tea", "coffee", "milk"}]'
     with pytest.raises(ValueError):
         vectors.cluster_vectors(df, limit=2)
 
 
+def test_cluster_labels(spark):
+    c = Corpus.from_documents(spark.createDataFrame([(1, "b a a"), (2, "b c"), (3, "!"), (4, "x")], "doc_id long, text string"))
+    of = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, -1)], "doc_id long, cluster int")
+    assert sorted(map(tuple, vectors.cluster_labels(c, of).collect())) == [(0, "a", 2), (1, "", 1)]
+
+
+def test_hits_of_every_query_form(spark):
+    c = Corpus.from_documents(spark.createDataFrame([(1, "Tea and a cup. The cup of tea, of green tea."), (2, "Coffee")], "doc_id long, text string"))
+    at = lambda q, **k: sorted(r.start_idx for r in matching.hits(c, q, **k).collect())
+    assert at("co(term=tea, collocate=cup|OF, window=3)") == [8]
+    assert at('co(term="tea",collocate=cup,window=9,within_sentence=false)') == [0, 8, 12]
+    assert at('([word="cup"] | [word="of"])') == [3, 6, 7, 10]
+    assert at('sim("cup")', similar=lambda w, k: ["green"]) == [3, 6, 11]
+    for q in ("co(term=tea)", '[pos="NOUN"]'):
+        with pytest.raises(matching.PatternError):
+            matching.hits(c, q)
+    assert matching.hits(c, '[pos="X"]').count() == 15
+    assert at("co OR tea") == [0, 8, 12]
+
+
+def test_type_tolerant_equality(spark):
+    docs = spark.createDataFrame([(1, "a", 1.0, "1"), (2, "b", 2.5, "1.0")], "doc_id long, text string, x double, s string")
+    c = Corpus.from_documents(docs)
+    ids = lambda f: sorted(r.doc_id for r in scopes.docset_from_meta(c, f).collect())
+    assert ids({"x": 1}) == [1] and ids({"x": [1, 2.5]}) == [1, 2] and ids({"x": {"op": "!=", "value": 1}}) == [2]
+    assert ids({"s": 1}) == [1] and ids({"x": "1.0"}) == [1] and ids({"doc_id": 2.0}) == [2]
+
+
 def test_clusters_of_a_whole_table(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 32)
     monkeypatch.setattr(vectors, "LEFT", 2)
