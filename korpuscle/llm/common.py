@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, start: str) -> str:
+    """``start``, with as many underscores behind it as no column of df, whatever its case, begins with."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start += "_"
+    return start
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled
+from .common import cut, labelled, unused
 from .textstats import COUNTS, RATIOS, document_stats, with_stats
 
 #: Most labelled rows that the rules are fitted on.
@@ -144,7 +144,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     """The rows of docs, all columns, that the base rules and the learned list keep."""
     few = sampled(labels, sample).select("doc_id")
     rules = fit_rules(document_stats(docs.join(few, "doc_id", "left_semi")), labels, sample)
-    prefix = "korpuscle_"
+    prefix = unused(docs, "korpuscle_")
     return with_stats(docs, prefix).where(~base_failed(prefix) & verdict(rules, prefix)).select(*docs.columns)
 
 

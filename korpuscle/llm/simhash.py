@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns_of, cut, to_batch
+from .common import bounded_batches, columns_of, cut, to_batch, unused
 from .components import connected_components
 
 PAIRS_UP_TO = 3000
@@ -209,7 +209,7 @@ def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
 
     Rows are ordered by doc_id, nulls last, then by their place; docs must read the same twice.
     """
-    name = "korpuscle_row"
+    name = unused(docs, "korpuscle_row")
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     prints = cut(fingerprints(rows.select(F.col(name).alias("doc_id"), "text"), width).join(rows.select(F.col(name).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"))
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))

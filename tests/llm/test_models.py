@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from korpuscle.llm import rff, rules, textstats, toxicity
 from korpuscle.llm.common import id_hash_mod
@@ -213,6 +214,9 @@ def test_rules(spark, made):
     got = [(out[i].kept, bool(q)) for i, (q, _) in truth.items() if not out[i].base_failed]
     assert np.mean([a == b for a, b in got]) > 0.97
     assert all(not r.kept for r in out.values() if r.base_failed)
+    named = docs.withColumn("korpuscle_n_words", F.lit("own"))
+    kept = rules.keep_good(named, labels)
+    assert kept.columns == named.columns and {r.korpuscle_n_words for r in kept.collect()} == {"own"}
     good = rules.keep_good(docs, labels)
     assert good.columns == docs.columns and sorted(r.doc_id for r in good.collect()) == sorted(i for i, r in out.items() if r.kept)
 

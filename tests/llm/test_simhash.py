@@ -117,3 +117,11 @@ def test_keep_one(spark, tmp_path):
     out = simhash.keep_one(df)
     assert out.columns == df.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_keep_one_returns_columns_of_its_own_name_as_they_were(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y"), (3, "e f g h", 9, "z")], "doc_id long, text string, korpuscle_row int, KORPUSCLE_row_ string")
+    df.write.parquet(str(tmp_path / "d"))
+    out = simhash.keep_one(spark.read.parquet(str(tmp_path / "d")))
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a b c d", 7, "x"), (3, "e f g h", 9, "z")]
