@@ -15,7 +15,7 @@ KEEP = 100_000
 
 class Job:
     def __init__(self, name: str):
-        self.id, self.name, self.state, self.error, self.rows = uuid.uuid4().hex, name, "queued", None, []
+        self.id, self.name, self.state, self.error, self.rows, self.truncated = uuid.uuid4().hex, name, "queued", None, [], False
 
 
 class Jobs:
@@ -35,7 +35,7 @@ class Jobs:
                 job.state = "running"
             self.spark.sparkContext.setJobGroup(job.id, name, interruptOnCancel=True)
             try:
-                rows = [r.asDict() for r in make().limit(KEEP).collect()]
+                rows = [r.asDict() for r in make().limit(KEEP + 1).collect()]
             except Exception as e:
                 with self.lock:
                     if job.state == "running":
@@ -43,7 +43,7 @@ class Jobs:
                 return
             with self.lock:
                 if job.state == "running":
-                    job.rows, job.state = rows, "done"
+                    job.rows, job.truncated, job.state = rows[:KEEP], len(rows) > KEEP, "done"
 
         job.thread = InheritableThread(target=run, daemon=True)
         job.thread.start()
@@ -51,7 +51,7 @@ class Jobs:
 
     def status(self, job_id: str) -> dict:
         j = self.jobs[job_id]
-        return {"id": j.id, "name": j.name, "state": j.state, "error": j.error, "rows": len(j.rows)}
+        return {"id": j.id, "name": j.name, "state": j.state, "error": j.error, "rows": len(j.rows), "truncated": j.truncated}
 
     def page(self, job_id: str, offset: int = 0, limit: int = 100) -> list[dict]:
         return self.jobs[job_id].rows[offset : offset + limit]

@@ -40,6 +40,7 @@ def test_jobs(spark, a):
     jobs = Jobs(spark)
     ok = jobs.create("frequency", lambda: a.frequency())
     assert jobs.wait(ok, 60) == "done" and len(jobs.page(ok, 10, 5)) == 5 and jobs.status(ok)["rows"] == 66
+    assert jobs.status(ok)["truncated"] is False
     bad = jobs.create("bad", lambda: a.hits("the people"))
     assert jobs.wait(bad, 60) == "error" and jobs.status(bad)["error"]
     slow = jobs.create("slow", lambda: spark.range(10**13).agg(F.sum(F.rand())))
