@@ -7,7 +7,7 @@ metadata, and digests of their own blocks. Record ids are UUIDs of the source's
 the same records.
 
 Defined cases: null or empty html is a response with an empty body, whose text is empty; a
-null url is left out of the headers; chunks, gzip and deflate are undone before the text is taken, and a body that is not in the encoding its headers
+null url is left out of the headers; chunks, gzip, deflate and zstd are undone before the text is taken, and a body that is not in the encoding its headers
 name, as crawlers leave it, is taken as it is; a body in another encoding has metadata that names it, without title and links, and no conversion; records of other types derive nothing; a record that
 breaks off is an error that names its place; of a response without an id no record refers to it; a very long body is one record, as in its source; repeated rows give equal records; an empty table gives no rows; other columns are ignored.
 """
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +123,21 @@ def _inflated(body: bytes, kind: str) -> bytes:
     return b"".join(out) or body
 
 
+def _frames(body: bytes) -> bytes:
+    """The data of one or more zstd frames, as far as they go; a body that starts with none as it is."""
+    if not body.startswith(zstandard.FRAME_HEADER):
+        return body
+    out, rest = [], body
+    while rest:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            out.append(frame.decompress(rest))
+        except zstandard.ZstdError:
+            break
+        rest = frame.unused_data
+    return b"".join(out)
+
+
 def undone(body: bytes, encodings: str) -> bytes | None:
     """body without the encodings, the last of the list first; None if one of them is not known."""
     for kind in reversed([e for x in encodings.lower().split(",") if (e := x.strip()) and e != "identity"]):
@@ -129,6 +145,8 @@ def undone(body: bytes, encodings: str) -> bytes | None:
             body = _dechunked(body)
         elif kind in ("gzip", "x-gzip", "deflate"):
             body = _inflated(body, kind)
+        elif kind == "zstd":
+            body = _frames(body)
         else:
             return None
     return body

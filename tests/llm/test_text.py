@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from korpuscle.llm import bm25, htmltext, licenses, warc
@@ -147,6 +148,8 @@ def test_warc_undoes_encodings():
     page = "<title>T</title><p>Grüße an alle".encode()
     raw = zlib.compressobj(wbits=-15)
     packed = {"gzip": gzip.compress(page[:9]) + gzip.compress(page[9:]), "x-gzip": gzip.compress(page), "deflate": zlib.compress(page), "Deflate": raw.compress(page) + raw.flush(), "identity": page}
+    z = zstandard.ZstdCompressor()
+    packed["zstd"] = z.compress(page[:9]) + z.compress(page[9:])
     chunked = lambda b: b"".join(b"%x;e=1\r\n%s\r\n" % (len(c), c) for c in (b[i : i + 7] for i in range(0, len(b), 7))) + b"0\r\nTrailer: x\r\n\r\n"
     want = "Grüße an alle\n".encode()
     for kind, body in packed.items():
@@ -155,7 +158,10 @@ def test_warc_undoes_encodings():
         j, text = derived([f"Content-Encoding: {kind}", "Transfer-Encoding: chunked"], chunked(body))
         assert text == want and j["Payload-Length"] == len(body)
     assert derived(["Transfer-Encoding: gzip, chunked"], chunked(gzip.compress(page)))[1] == want
-    assert derived(["Transfer-Encoding: chunked", "Content-Encoding: gzip"], page)[1] == want
+    for kind in ("gzip", "zstd"):
+        assert derived(["Transfer-Encoding: chunked", f"Content-Encoding: {kind}"], page)[1] == want
+    assert derived(["Content-Encoding: zstd"], z.compress(page[:9]) + z.compress(page[9:])[:-1])[1] == want.replace(b"e\n", b"\n")
+    assert derived(["Content-Encoding: zstd"], z.compress(page * 50)[:-1])[1] == derived([], b"")[1]  # its one block is not whole
     assert derived(["Transfer-Encoding: chunked"], chunked(page)[:-30])[1].startswith("Gr".encode())
     j, text = derived(["Content-Encoding: br"], b"\x8b\x00")
     assert text is None and j["Not-Decoded"] == "br" and j["HTML-Metadata"] == {"Title": None, "Links": []}
