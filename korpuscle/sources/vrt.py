@@ -1,7 +1,7 @@
 """Verticalised text: one token a line, tab-separated attributes, structures as tags.
 
-Whole files go to tasks; a file is read line by line, so its tokens never stand in memory
-together. The decoded form of corpus workbenches, with attribute columns and tags, is the same format.
+A file is cut at the ends of its documents, so large files go to many tasks and only one document's
+text stands in memory. Tokens behind the last end are a document of their own. The decoded form of corpus workbenches, with attribute columns and tags, is the same format.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ATTR = re.compile(r'([\w:-]+)="([^"]*)"')
 _TAG = re.compile(r"^<(/?)([A-Za-z][\w-]*)([^>]*)>$")
@@ -18,14 +19,14 @@ COLUMNS = ("word", "lemma", "pos_tag")
 DDL = "doc string, doc_no long, tok_idx int, sent_id int, word string, lemma string, pos_tag string, meta string"
 
 
-def tokens_of(lines: Iterable[str], mode: str = "adopt", doc_tag: str = "text") -> Iterator[tuple]:
-    """(doc, doc_no, tok_idx, sent_id, word, lemma, pos_tag, meta) for each token line.
+def tokens_of(lines: Iterable[str], mode: str = "adopt", doc_tag: str = "text", first: int = 0) -> Iterator[tuple]:
+    """(doc, doc_no, tok_idx, sent_id, word, lemma, pos_tag, meta) for each token line; documents are numbered from ``first``.
 
     ``adopt`` keeps the file's attributes; ``none`` and ``sidecar`` keep words alone, to be annotated anew.
     """
     if mode not in ("adopt", "none", "sidecar"):
         raise ValueError(f"unknown mode {mode!r}")
-    doc, meta, number, tok, sent, in_sent = None, "", -1, 0, 0, False
+    doc, meta, number, tok, sent, in_sent = None, "", first - 1, 0, 0, False
     for line in lines:
         line = line.rstrip("\r\n")
         if not line or line.startswith("<!--") or line.startswith("<?"):
@@ -41,7 +42,7 @@ def tokens_of(lines: Iterable[str], mode: str = "adopt", doc_tag: str = "text")
                 sent, in_sent = sent + 1, False
             continue
         if doc is None:
-            doc, number = "doc-1", 0
+            doc, number = f"doc-{first + 1}", first
         cells = line.split("\t")
         word = cells[0].replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&")
         lemma = cells[2 - 1] if mode == "adopt" and len(cells) > 1 else word.lower()
@@ -51,20 +52,33 @@ def tokens_of(lines: Iterable[str], mode: str = "adopt", doc_tag: str = "text")
 
 
 def read_vrt(spark: SparkSession, path: str, mode: str = "adopt", doc_tag: str = "text") -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value")
+    """The tokens of VRT files, with ``DDL`` for columns.
+
+    doc_no counts the documents of a file; in a file that is read in several splits it counts on from the
+    place where the split begins, so it stays unique and in order without a pass over the file. Ids of documents that
+    have none (doc-1 and on) are made from it.
+    """
+    parts = spark.read.text(path, lineSep=f"</{doc_tag}>").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
     def run(batches):
+        at, number = None, 0
         for df in batches:
-            for text in df["value"]:
-                rows = []
-                for row in tokens_of(text.splitlines(), mode, doc_tag):
+            rows = []
+            for text, *place in zip(df["value"], df["file"], df["start"], strict=True):
+                if place != at:
+                    at, number = place, place[1]
+                lines, found = text.splitlines(), 0
+                for row in tokens_of(lines, mode, doc_tag, number):
                     rows.append(row)
+                    found = 1
                     if len(rows) >= 50_000:
                         yield _frame(rows)
                         rows = []
-                yield _frame(rows)
+                opened = sum(1 for x in lines if (m := _TAG.match(x)) and m[2] == doc_tag and not m[1])
+                number += max(found, opened)
+            yield _frame(rows)
 
-    return files.mapInPandas(run, DDL)
+    return parts.mapInPandas(run, DDL)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

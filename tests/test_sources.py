@@ -89,3 +89,24 @@ def test_stream(spark, tmp_path):
     assert spark.sql("select count(*) n, count_if(is_word) w from toks").first().asDict() == {"n": 5, "w": 4}
     ev = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:20:00", "x"), ("2024-01-01 02:00:00", "y")], "ts string, e string").withColumn("ts", F.to_timestamp("ts"))
     assert ingest.term_counts(ev, "e").count() == 2 and ingest.sessions(ev, "e").count() == 2
+
+
+def test_vrt_files_are_split_at_documents(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    doc = lambda i: (f'<text id="d{i}" lang="en">' if i % 3 else "<text>") + f"\n<s>\nword{i}\tword\tNN\n.\t.\t$.\n</s>\n</text>\n"
+    whole = "<corpus>\n" + "".join(map(doc, range(300))) + "</corpus>\n"
+    (tmp_path / "v/a.vrt").write_text(whole)
+    (tmp_path / "v/b.vrt").write_text("free\tfree\tJJ\n")
+    want = sorted([*vrt.tokens_of(whole.splitlines()), ("doc-1", 0, 0, 0, "free", "free", "JJ", "")])
+    got = vrt.read_vrt(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, got.collect())) == want
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        split = vrt.read_vrt(spark, str(tmp_path / "v/a.vrt"))
+        assert split.rdd.getNumPartitions() > 5
+        rows = split.orderBy("doc_no", "tok_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r.word, r.tok_idx) for r in rows] == [(f"word{i}" if k == 0 else ".", k) for i in range(300) for k in (0, 1)]
+    assert len({r.doc_no for r in rows}) == 300 == len({r.doc for r in rows})
