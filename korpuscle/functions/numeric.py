@@ -20,7 +20,8 @@ _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 def beta_cdf(x, a, b) -> np.ndarray:
     """Regularised incomplete beta function of vectors, by Lentz's continued fraction."""
-    x, a, b = (np.array(v, float) for v in np.broadcast_arrays(x, a, b))
+    shape = np.broadcast_shapes(*map(np.shape, (x, a, b)))
+    x, a, b = (np.array(v, float).ravel() for v in np.broadcast_arrays(x, a, b))
     turn = x > (a + 1) / (a + b + 2)
     x, a, b = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
     inside = (x > 0) & (x < 1)
@@ -29,16 +30,22 @@ def beta_cdf(x, a, b) -> np.ndarray:
     tiny = 1e-300
     safe = lambda v: np.where(np.abs(v) > tiny, v, tiny)
     c, d = np.ones_like(z), 1 / safe(1 - (a + b) * z / (a + 1))
-    out = d.copy()
+    out, ratio, at = d.copy(), np.empty_like(z), np.arange(len(z))
     for m in range(1, 5000):
         for top in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / safe(1 + top * d)
             c = safe(1 + top / c)
             out = out * c * d
-        if np.all(np.abs(c * d - 1) < 1e-15):
-            break
-    value = np.where(inside, front * out, (x >= 1).astype(float))
-    return np.where(turn, 1 - value, value)
+        if m % 4 == 0:  # values that have settled leave
+            open_ = np.abs(c * d - 1) >= 1e-15
+            if not open_.all():
+                ratio[at[~open_]] = out[~open_]
+                a, b, c, d, z, out, at = (v[open_] for v in (a, b, c, d, z, out, at))
+                if not len(at):
+                    break
+    ratio[at] = out
+    value = np.where(inside, front * ratio, (x >= 1).astype(float))
+    return np.where(turn, 1 - value, value).reshape(shape)
 
 
 def beta_ppf(p, a, b) -> np.ndarray:
@@ -53,17 +60,28 @@ def beta_ppf(p, a, b) -> np.ndarray:
 
 
 def conservative_log_ratio(a, b, n1, n2, m) -> np.ndarray:
-    """The end nearest zero of Clopper-Pearson intervals at 0.001 / m; 0 where one spans zero."""
-    a, b, n1, n2, m = (np.array(v, float) for v in np.broadcast_arrays(a, b, n1, n2, m))
+    """The end nearest zero of Clopper-Pearson intervals at 0.001 / m; 0 where one spans zero.
+
+    Rows of equal counts are taken once, and whether an interval spans zero is told from the distribution at zero's
+    place, so that a quantile is sought only where there is one to report.
+    """
+    rows = np.array(np.broadcast_arrays(a, b, n1, n2, m), float)
+    if not rows.size:
+        return np.zeros(rows.shape[1:])
+    cases, at = np.unique(rows.reshape(5, -1), axis=1, return_inverse=True)
+    a, b, n1, n2, m = cases
     alpha = 0.001 / np.maximum(m, 1)
     ok = (a + b > 0) & (n1 > 0) & (n2 > 0)
-    low = np.where(a > 0, beta_ppf(alpha / 2, np.maximum(a, 1), b + 1), 0.0)
-    high = np.where(b > 0, beta_ppf(1 - alpha / 2, a + 1, np.maximum(b, 1)), 1.0)
-    with np.errstate(all="ignore"):
-        shift = np.log2(n2 / n1)
-        lo, hi = (np.log2(p / (1 - p)) + shift for p in (low, high))
-    out = np.where(lo > 0, lo, np.where(hi < 0, hi, 0.0))
-    return np.where(ok & np.isfinite(out), out, 0.0)
+    zero = np.divide(n1, n1 + n2, out=np.full(len(a), 0.5), where=ok)
+    above = ok & (a > 0) & (beta_cdf(zero, np.maximum(a, 1), b + 1) < alpha / 2)
+    below = ok & (b > 0) & (beta_cdf(zero, a + 1, np.maximum(b, 1)) > 1 - alpha / 2)
+    out = np.zeros(len(a))
+    for some, p, x, y, end in ((above, alpha / 2, a, b + 1, np.maximum), (below, 1 - alpha / 2, a + 1, b, np.minimum)):
+        q = beta_ppf(p[some], x[some], y[some])
+        with np.errstate(all="ignore"):
+            value = np.log2(q / (1 - q)) + np.log2(n2[some] / n1[some])
+        out[some] = np.where(np.isfinite(value), end(value, 0.0), 0.0)
+    return out[at.reshape(-1)].reshape(rows.shape[1:])
 
 
 def binomial_mad(n: int, p: float) -> float:

@@ -59,8 +59,9 @@ def scored(rows: DataFrame, inference: bool = True) -> DataFrame:
     out = rows.withColumns(measures.keyness(*(F.col(x) for x in ("a", "c", "nt", "nr"))))
     if not inference:
         return out
-    out = with_bh(out.withColumn("p", numeric.p_value("ll"))).withColumn("p_bonferroni", bonferroni(F.col("p"), F.col("m")))
-    return out.withColumn("lrc", numeric.lrc("a", "c", "nt", "nr", "m"))
+    # the costly kernel comes before the buckets of with_bh, which hold words unevenly
+    out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_m")))).withColumns({"p": numeric.p_value("ll"), "lrc": numeric.lrc("a", "c", "nt", "nr", "_m")}).drop("_m")
+    return with_bh(out).withColumn("p_bonferroni", bonferroni(F.col("p"), F.col("m")))
 
 
 def external(corpus: Corpus, reference: DataFrame, total: int, min_freq: int = 5) -> DataFrame:
