@@ -372,3 +372,46 @@ def test_shard_prunes_and_stays_exact():
             total[s.doc[at]] += w * s.impact[at]
         order = np.lexsort((np.arange(700), -np.round(total, 9)))[:5]
         assert s.search(h, idf, 5) == [(int(i), pytest.approx(total[i], abs=1e-8)) for i in order]
+
+
+def test_shards_of_parts_answer_many_queries_exactly():
+    """Parts joined, queries in one product of single precision, copies by id, and only rows that reach the least score."""
+    rng = np.random.default_rng(5)
+    rows = [bm25.vector(" ".join(f"w{t}" for t in rng.zipf(1.3, rng.integers(1, 400)) if t < 500)) for _ in range(150)]
+    rows += [rows[3]] * 40 + [bm25.vector("w1 " * 300 + "w2"), bm25.vector(None)]
+    ids = [int(i) for i in rng.permutation(len(rows))]
+    cuts = [slice(0, 70), slice(70, 71), slice(71, None)]
+    parts = [bm25.inverted(ids[c], *[list(x) for x in zip(*rows[c], strict=True)]) for c in cuts]
+    parts = [bm25.unpack(bm25.pack(p, bm25.KEPT), bm25.KEPT) for p in parts]
+    s = bm25.Shard.of(parts, 150.0)
+    assert len(s.dense) and (s.dense_of < 0).any() and s.dense.dtype == np.float32
+    queries = [(np.frombuffer(h, "<u8"), rng.random(len(h) // 8) + 0.1) for _, h, _ in rows[:190]]
+    found = list(s.search_all(((s.places_of(h), w) for h, w in queries), 5, [0.0] * len(queries)))
+    for (h, idf), (got, scores) in zip(queries, found, strict=True):
+        weight, total = dict(zip(h.tolist(), idf, strict=True)), np.zeros(len(rows))
+        for i, (n, terms, counts) in enumerate(rows):
+            terms = np.frombuffer(terms, "<u8").tolist()
+            for t, tf in zip(terms, bm25.unpacked([counts], [len(terms)]), strict=True):
+                total[i] += weight.get(t, 0) * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * n / 150))
+        order = [i for i in np.lexsort((ids, -np.round(total, 9)))[:5] if total[i] > 0]
+        assert [ids[i] for i in order] == got.tolist() and scores == pytest.approx(total[order], abs=1e-8)
+    h, idf = queries[0]
+    assert [x.tolist() for x in next(s.search_all([(s.places_of(h), idf)], 5, [float(found[0][1][1])]))] == [x[:2].tolist() for x in found[0]]
+
+
+def test_search_writes_the_index_once(spark, monkeypatch):
+    """Ten blocks of queries write about as many bytes as one."""
+
+    def written(queries):
+        monkeypatch.setattr(bm25, "QUERIES", queries)
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = lambda: {(f := all_.apply(i)).getPath(): f.length() for all_ in [manager.getAllFiles()] for i in range(all_.size())}
+        before = files()
+        got = bm25.search(df, F.col("doc_id") % 5 == 0, k=4, shard=50).collect()
+        return sum(v for p, v in files().items() if p not in before), sorted(map(tuple, got))
+
+    rows = [(i, " ".join(f"w{(i * j * 7919) % 4001}" for j in range(1, 400))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    (one, same), (ten, got) = written(1000), written(3)
+    assert got == same and one > 100_000 and ten < 2 * one
+    df.unpersist()
