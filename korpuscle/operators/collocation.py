@@ -9,26 +9,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, numeric
 from . import counting
+from .components import cut
 from .corpus import Corpus, unit
 
 
 def mark_windows(corpus: Corpus, node: Column | DataFrame, window: int, within: str = "s") -> DataFrame:
     """The tokens with in_w, true inside W(u), and is_start, true where a hit starts.
 
-    ``node`` is a token condition, or a DataFrame of hits.
+    ``node`` is a token condition, or a DataFrame of hits or of their marks.
     """
     if not 1 <= window <= 50:
         raise ValueError("a window goes from 1 to 50")
     if isinstance(node, Column):
         rows = corpus.tokens.withColumn("is_start", F.coalesce(node, F.lit(False))).withColumn("is_last", F.col("is_start"))
     else:
-        ends = F.explode(F.array(F.struct(F.col("start_idx").alias("i"), F.lit(True).alias("s"), (F.col("end_idx") - 1 == F.col("start_idx")).alias("e")), F.struct((F.col("end_idx") - 1).alias("i"), F.lit(False).alias("s"), F.lit(True).alias("e")))).alias("x")
-        marks = node.select("doc_id", ends).groupBy("doc_id", F.col("x.i").alias("tok_idx")).agg(F.max("x.s").alias("is_start"), F.max("x.e").alias("is_last"))
+        marks = node if "is_last" in node.columns else marks_of(node)
         rows = corpus.tokens.join(marks, ["doc_id", "tok_idx"], "left").na.fill(False, ["is_start", "is_last"])
     w = unit(within)
     before = F.max("is_start").over(w.rowsBetween(1, window))
@@ -36,6 +36,12 @@ def mark_windows(corpus: Corpus, node: Column | DataFrame, window: int, within:
     return rows.withColumn("in_w", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
 
 
+def marks_of(hits: DataFrame) -> DataFrame:
+    """The first and last tokens of hits: doc_id, tok_idx, is_start, is_last."""
+    ends = F.explode(F.array(F.struct(F.col("start_idx").alias("i"), F.lit(True).alias("s"), (F.col("end_idx") - 1 == F.col("start_idx")).alias("e")), F.struct((F.col("end_idx") - 1).alias("i"), F.lit(False).alias("s"), F.lit(True).alias("e")))).alias("x")
+    return hits.select("doc_id", ends).groupBy("doc_id", F.col("x.i").alias("tok_idx")).agg(F.max("x.s").alias("is_start"), F.max("x.e").alias("is_last"))
+
+
 def node_condition(word: str) -> Column:
     return F.col("word_lc") == word.lower()
 
@@ -46,9 +52,27 @@ def adaptive_floor(requested: int | None, fu: Column) -> Column:
     return F.when(fu >= 50, F.lit(5)).otherwise(F.greatest(F.lit(2), F.least(F.floor(fu / 10).cast("int"), F.lit(5))))
 
 
+def by_document_only(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows, written, their joins on (doc_id, tok_idx) taken where documents lie: tokens dealt by doc_id alone are not moved."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(rows)
+    finally:
+        spark.conf.set(name, was)
+
+
 def counts(corpus: Corpus, node: Column | DataFrame, window: int, within: str, attr: str = "word", weighted: bool = False) -> DataFrame:
-    """One row a collocate: o11, c1, r1, n, fu; everything from one pass over the marked tokens."""
+    """One row a collocate: o11, c1, r1, n, fu; everything from one pass over the marked tokens.
+
+    For a DataFrame of hits, its marks are written once and only documents with a mark get windows; c1 is counted over all.
+    """
     key = corpus.column(attr)
+    every, hits = corpus.tokens, isinstance(node, DataFrame)
+    if hits:
+        node = cut(marks_of(node))
+        corpus = corpus.scope(node)
     marked = mark_windows(corpus, node, window, within)
     in_w = F.col("in_w").cast("long")
     if weighted:  # overlaps count as often as they cover
@@ -56,7 +80,16 @@ def counts(corpus: Corpus, node: Column | DataFrame, window: int, within: str, a
         in_w = (F.coalesce(F.sum(F.col("is_start").cast("long")).over(w.rowsBetween(1, window)), F.lit(0)) + F.coalesce(F.sum(F.col("is_last").cast("long")).over(w.rowsBetween(-window, -1)), F.lit(0))).cast("long")
         marked = marked.withColumn("weight", in_w)
         in_w = F.col("weight")
+    if hits:
+        marked = marked.where("in_w or is_start")
     per = marked.groupBy(F.col(key).alias("collocate")).agg(F.sum(in_w).alias("o11"), F.count("*").alias("c1"), F.count_if("is_start").alias("starts"))
+    if hits:
+        near, none = by_document_only(every.sparkSession, per), F.lit(0).cast("long")
+        c1 = every.groupBy(F.col(key).alias("collocate")).agg(none.alias("o11"), F.count("*").alias("c1"), none.alias("starts"))
+        sums = [F.sum(x).alias(x) for x in ("o11", "c1", "starts")]
+        per = c1.union(near.withColumn("c1", none)).groupBy("collocate").agg(*sums)
+        met = F.col("o11") > 0  # words that are no collocates are one row
+        per = cut(per.groupBy(met.alias("met"), F.when(met, F.col("collocate")).alias("collocate")).agg(*sums)).drop("met")
     # totals of a vocabulary-sized table, joined as one row
     totals = per.agg(F.sum("o11").alias("r1"), F.sum("c1").alias("n"), F.sum("starts").alias("fu"))
     return per.where("o11 > 0").drop("starts").crossJoin(F.broadcast(totals))

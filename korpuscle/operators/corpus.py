@@ -7,6 +7,8 @@ finds its rows in place, and Catalyst plans no exchange for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,15 +40,18 @@ class Corpus:
 
     def __init__(self, tokens: DataFrame, docs: DataFrame, meta: list[str]):
         self.tokens, self.docs, self.meta = tokens, docs, meta
+        self.again: Callable[[DataFrame], Corpus] | None = None  # splits the texts of a docset anew
 
     @classmethod
-    def from_documents(cls, df: DataFrame, meta: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", persist: bool = False, spacing: bool = False) -> Corpus:
+    def from_documents(cls, df: DataFrame, meta: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", persist: bool = False, spacing: bool = False, deal: bool = True) -> Corpus:
         """Split texts into tokens under the blank pipeline: lemma is the folded word, POS is X.
 
+        Without ``deal``, texts stay where they are: for counts without windows, or windows over few tokens, which then move themselves.
         With ``spacing``, ws_after tells the tokens that white space follows in the source.
         """
         meta = [c for c in df.columns if c not in (id_col, text_col)] if meta is None else meta
-        base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta).repartition("doc_id")
+        base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta)
+        base = base.repartition("doc_id") if deal else base
         split = base.select("doc_id", *meta, F.posexplode((spaced_tokens_of if spacing else tokens_of)(F.col("text"))).alias("tok_idx", "word"))
         if spacing:
             split = split.withColumn("ws_after", F.col("word").rlike(r"\s$")).withColumn("word", F.regexp_replace("word", r"\s+$", ""))
@@ -61,7 +66,10 @@ class Corpus:
         sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("is_word").alias("n_words"))
         docs = df.select(F.col(id_col).alias("doc_id"), *meta).join(sizes, "doc_id", "left")
         docs = docs.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_tokens", "n_words")})
-        return cls(tokens.withColumns({"lemma": F.col("word_lc"), "pos_tag": F.lit("X")}), docs, meta)
+        out = cls(tokens.withColumns({"lemma": F.col("word_lc"), "pos_tag": F.lit("X")}), docs, meta)
+        if not persist:
+            out.again = lambda ids: cls.from_documents(df.join(ids.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), meta, id_col, text_col, spacing=spacing)
+        return out
 
     @classmethod
     def from_tokens(cls, tokens: DataFrame, docs: DataFrame | None = None) -> Corpus:
@@ -87,6 +95,8 @@ class Corpus:
     def scope(self, docset: DataFrame) -> Corpus:
         """The corpus cut to a docset, numerators and denominators alike."""
         ids = docset.select("doc_id").distinct()
+        if self.again is not None:  # the other texts are not split
+            return self.again(ids)
         return Corpus(self.tokens.join(ids, "doc_id", "left_semi"), self.docs.join(ids, "doc_id", "left_semi"), self.meta)
 
     def totals(self) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wildcard_regex
@@ -217,7 +218,7 @@ class _Evaluator:
             w = by_document()
             test = self.same(q.words[0])
             for k, word in enumerate(q.words[1:], 1):
-                test = test & (F.lead("word", k).over(w) == word if self.case else F.lead("word_lc", k).over(w) == word.lower())
+                test = test & (F.lead("word", k).over(w) == word if self.case else F.lead("word_lc", k).over(w) == word.lower()) & (F.lead("tok_idx", k).over(w) == F.col("tok_idx") + k)
             return self.named(test)
         if isinstance(q, Not):
             return self.named(~F.col(self.visit(q.of)))
@@ -249,6 +250,8 @@ def search(corpus: Corpus, query: str, case_sensitive: bool = False) -> DataFram
     """
     q = parse(query)
     e = _Evaluator(corpus, case_sensitive)
+    if isinstance(q, Phrase):  # only tokens that are one of its words are put in order
+        e.df = e.df.where(reduce(Column.__or__, [e.same(w) for w in q.words]))
     name = e.visit(q)
     size = len(q.words) if isinstance(q, Phrase) else 1
     found = e.df.where(F.col(name))

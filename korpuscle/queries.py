@@ -352,7 +352,7 @@ SELECT collocate, o11, c1, r1, n, fu, round(14+log2(2.0*o11/(fu+c1)),6)+0.0 AS l
 (SELECT sum(in_w::INT)::BIGINT AS r1, count(*) AS n, sum(is_start::INT)::BIGINT AS fu FROM m) WHERE o11 >= 3 AND regexp_matches(collocate,'[\\p{L}\\p{N}]')""")
 def colloc_phrase(spark, d):
     """Collocates of a node of two tokens: its window starts at either end of the hit."""
-    c = corpus(spark, d)
+    c = Corpus.from_documents(table(spark, d, "documents"), meta=[], deal=False)  # neither kept nor dealt: only documents with a hit get windows
     out = collocation.collocates(c, plain.search(c, '"of the"'), 3, "s", min_freq=3)
     return out.select("collocate", "o11", "c1", "r1", "n", "fu", *r6("logdice"))
 

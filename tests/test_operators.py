@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from korpuscle.functions import numeric
 from korpuscle.functions.text import formula_guard, mask_pii
 from korpuscle.operators import collocation, counting, deps, dispersion, kwic, pairs, ranking, running, scopes, vectors
-from korpuscle.operators.corpus import Corpus
+from korpuscle.operators.corpus import Corpus, unit
 from korpuscle.plans import matching, plain
 from korpuscle.sources import readers
 
@@ -302,3 +302,26 @@ def test_mattr_by_hand(spark):
     for w in (1, 2, 7, 60, 400):
         want = sum(len(set(words[i : i + w])) / w for i in range(400 - w + 1)) / (400 - w + 1)
         assert dispersion.mattr(c, w).first()[0] == pytest.approx(want)
+
+
+def test_phrase_collocates_split_only_texts_with_hits(spark):
+    """Counts around hits equal those of windows over all tokens, and the plan that is left has no window and no join with tokens."""
+    texts = ["a of the b. of the of the c d e f", "of. the x of the", "the of", None, "Of THE a, a of  the the", *[f"w{i} of a the w{i + 1}" for i in range(20)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for within, weighted in (("s", False), ("doc", False), ("s", True)):
+        c = Corpus.from_documents(df, meta=[], deal=False)
+        hits = plain.search(c, '"of the"')
+        assert sorted((r.doc_id, r.start_idx) for r in hits.collect()) == [(0, 1), (0, 5), (0, 7), (1, 4), (4, 0), (4, 5)]
+        whole = collocation.mark_windows(Corpus.from_documents(df, meta=[], persist=True), hits, 2, within)
+        if weighted:
+            w = unit(within)
+            near = [F.coalesce(F.sum(F.col(x).cast("long")).over(w.rowsBetween(*f)), F.lit(0)) for x, f in (("is_start", (1, 2)), ("is_last", (-2, -1)))]
+            whole = whole.withColumn("in_w", near[0] + near[1])
+        want = {r.word: (r.o, r.c) for r in whole.groupBy("word").agg(F.sum(F.col("in_w").cast("long")).alias("o"), F.count("*").alias("c")).collect() if r.o}
+        got = collocation.counts(c, hits, 2, within, weighted=weighted)
+        rows = got.collect()
+        assert {r.collocate: (r.o11, r.c1) for r in rows} == want
+        total = whole.agg(F.count("*").alias("n"), F.sum(F.col("in_w").cast("long")).alias("r1"), F.count_if("is_start").alias("fu")).first()
+        assert {(r.n, r.r1, r.fu) for r in rows} == {(total.n, total.r1, total.fu)}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan and "Generate" not in plan
